@@ -49,18 +49,24 @@ def has_scheme(url: Column | str) -> Column:
     return F.lower(strip_ws(as_col(url))).rlike(r"^https?://")
 
 
-def _host_of(normalized: Column) -> Column:
+# The same prefix, left alone where nothing but slashes would remain.
+_HOST_PREFIX = r"^(?>(?:[a-z][a-z0-9+.\-]*+://)?)(?>(?:www\p{Nd}*+\.)?)(?=/*+[^/])"
+
+
+def site_host(url: Column | str) -> Column:
+    """The host the split key is read from; empty when the url has none.
+
+    Refers to its input once, so the optimiser may copy it into a filter cheaply.
+    """
+    host = F.regexp_replace(F.lower(strip_ws(as_col(url))), _HOST_PREFIX, "")
     for cut in "/?#":
-        normalized = F.substring_index(normalized, cut, 1)
-    return F.substring_index(F.substring_index(normalized, "@", -1), ":", 1)
+        host = F.substring_index(host, cut, 1)
+    return F.substring_index(F.substring_index(host, "@", -1), ":", 1)
 
 
 def _dotted(host: Column) -> Column:
     """The host without empty labels."""
-    one = F.when(
-        F.contains(host, F.lit("..")), F.regexp_replace(host, r"\.{2,}", ".")
-    ).otherwise(host)
-    return F.btrim(one, F.lit("."))
+    return F.btrim(F.regexp_replace(host, r"\.{2,}", "."), F.lit("."))
 
 
 def is_ipv4(host: Column) -> Column:
@@ -83,17 +89,16 @@ def registered_domain(url: Column | str) -> Column:
 
     Normalises once more by definition. Over whole tables prefer :func:`with_group`.
     """
-    host = _host_of(normalize_url(url))
+    host = site_host(url)
     return _domain_of(host, _dotted(host))
 
 
 def with_group(df: DataFrame, url: str = "url", out: str = "group") -> DataFrame:
     """:func:`registered_domain` as staged projections."""
-    df = with_normalized(df, url, "_again")
-    df = df.withColumn("_site", _host_of(F.col("_again")))
+    df = df.withColumn("_site", site_host(url))
     df = df.withColumn("_dotted", _dotted(F.col("_site")))
     domain = _domain_of(F.col("_site"), F.col("_dotted"))
-    return df.withColumn(out, domain).drop("_again", "_site", "_dotted")
+    return df.withColumn(out, domain).drop("_site", "_dotted")
 
 
 # --- url parts -------------------------------------------------------------

@@ -21,7 +21,7 @@ def write_json(spark: SparkSession, value: dict, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.option("wholetext", True).text(path).collect()
+    rows = spark.read.text(path, wholetext=True).collect()
     return json.loads(rows[0]["value"])
 
 
