@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from urlsieve.catalog import relations as R
 from urlsieve.catalog import sql as S
-from urlsieve.operators.vectorize import tfidf_weights, vocabulary, weighted_terms, with_term_counts
+from urlsieve.operators.vectorize import term_rows, tfidf_weights, vocabulary, weighted_terms
 
 TOP = 2000
 
 
 def char_ngrams(spark, sf):
-    df = with_term_counts(R.documents_for_text(spark, sf), "url")
-    return df.select("url", F.inline("terms"))
+    return term_rows(R.documents_for_text(spark, sf), "url", "url")
 
 
 def ngram_vocab_topk(spark, sf):

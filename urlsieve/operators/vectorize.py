@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from urlsieve.constants import FEATURE_NAMES, WHITESPACE
+from urlsieve.constants import FEATURE_NAMES
 from urlsieve.functions.basic import as_col
 
 GRAM_SIZES = (3, 4, 5)
 VOCABULARY_SIZE = 20_000
 BROADCAST_TERMS = 1_000_000
 
-_BLANK = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WHITESPACE) + "]+"
+# The same white space as WHITESPACE, as a character class.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def char_ngrams(text: Column | str, sizes: tuple[int, ...] = GRAM_SIZES) -> Column:
@@ -54,14 +55,25 @@ def with_term_counts(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
     return df.withColumn(out, counts).drop("_grams", "_starts")
 
 
+def term_rows(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, gram, tf) rows.
+
+    The outer form of ``inline`` on purpose: for the inner one the optimiser infers a
+    filter on the array and copies the whole expression chain into it.
+    """
+    columns = list(dict.fromkeys([*keys, text]))
+    counted = with_term_counts(df.select(*columns), text)
+    return counted.select(*keys, F.inline_outer("terms")).filter(F.col("gram").isNotNull())
+
+
 def vocabulary(df: DataFrame, text: str = "url", k: int = VOCABULARY_SIZE) -> DataFrame:
     """(gram, idx, cf, df, idf) of the k most frequent grams of the corpus.
 
     Ties go to the smaller gram; ``idx`` follows gram order; idf = ln((1+N)/(1+df))+1.
     """
-    counted = with_term_counts(df.select(text), text).select(F.inline("terms"))
     top = (
-        counted.groupBy("gram")
+        term_rows(df, text)
+        .groupBy("gram")
         .agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
         .orderBy(F.desc("cf"), "gram")
         .limit(k)
@@ -104,8 +116,8 @@ def weighted_terms(df: DataFrame, key: str, text: str, vocab: DataFrame, k: int
 
 def tfidf_weights(weighted: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """The weights as (key, gram, weight) rows."""
-    rows = weighted.select(key, F.inline(F.arrays_zip("indices", "values"))).toDF(key, "idx", "weight")
-    return rows.join(F.broadcast(vocab.select("idx", "gram")), "idx").select(key, "gram", "weight")
+    rows = weighted.select(key, F.inline_outer(F.arrays_zip("indices", "values")))
+    return rows.toDF(key, "idx", "weight").join(F.broadcast(vocab.select("idx", "gram")), "idx").select(key, "gram", "weight")
 
 
 def sparse_vector(indices: Column, values: Column, size: int) -> Column:
