@@ -16,7 +16,7 @@ from urlsieve.constants import BRANDS, TLD_RISK
 from urlsieve.functions.basic import md5_bucket
 from urlsieve.functions.labels import label_a, label_b, label_c
 from urlsieve.functions.urls import with_group, with_normalized
-from urlsieve.operators.consolidate import consolidate, corpus_votes, clean_urls, master
+from urlsieve.operators.consolidate import consolidate, corpus_votes, normalized_rows, master
 from urlsieve.sources.corpora import apply_label
 
 SPAM = "cheap-pills|casino-win|free-bets|adult-x|spam-farm"
@@ -88,7 +88,7 @@ def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_votes(clean_urls(raw_rows(spark, sf)), SOURCES)
+    return corpus_votes(normalized_rows(raw_rows(spark, sf)), SOURCES)
 
 
 def merged(spark: SparkSession, sf: str, **policies) -> DataFrame:

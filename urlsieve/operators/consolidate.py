@@ -22,16 +22,24 @@ CONFLICT_POLICIES = ("phishing", "benign", "drop")
 MIN_LENGTH = 4
 
 
-def clean_urls(df: DataFrame) -> DataFrame:
-    """Drop missing cells and short urls, before and after normalising."""
+def normalized_rows(df: DataFrame) -> DataFrame:
+    """Drop missing cells and short urls, then normalise."""
     df = df.dropna(subset=["url", "label"])
-    df = with_normalized(_long_enough(df, stripped=True))
-    return _long_enough(df)
+    return with_normalized(df.filter(F.length(strip_ws(F.col("url"))) >= MIN_LENGTH))
+
 
+def clean_urls(df: DataFrame) -> DataFrame:
+    """:func:`normalized_rows` without the urls that normalising made short."""
+    return normalized_rows(df).filter(F.length("url") >= MIN_LENGTH)
 
-def _long_enough(df: DataFrame, stripped: bool = False) -> DataFrame:
-    url = strip_ws(F.col("url")) if stripped else F.col("url")
-    return df.filter(F.length(url) >= MIN_LENGTH)
+
+def _per_url(value: Column, count: Column) -> Column:
+    """``value`` tied to a count (never negative) of the aggregation by url.
+
+    A filter on the url alone would be copied below the aggregation, where it
+    normalises every raw row once more. Tied to the count it runs once per url.
+    """
+    return value + F.least(count, F.lit(0))
 
 
 def vote_column(source: str) -> str:
@@ -42,10 +50,13 @@ def _plus(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def corpus_votes(df: DataFrame, sources: Sequence[str]) -> DataFrame:
+def corpus_votes(
+    df: DataFrame, sources: Sequence[str], min_length: int = MIN_LENGTH
+) -> DataFrame:
     """(url, label, source) rows -> one row per url with a nullable label per source.
 
-    Inside a source the majority wins and a tie is malicious.
+    Inside a source the majority wins and a tie is malicious. Short urls are left out
+    here, after they were folded.
     """
     aggs = []
     for i, source in enumerate(sources):
@@ -53,6 +64,9 @@ def corpus_votes(df: DataFrame, sources: Sequence[str]) -> DataFrame:
         aggs.append(F.count_if(hit).alias(f"_n{i}"))
         aggs.append(F.count_if(hit & (F.col("label") == 1)).alias(f"_p{i}"))
     votes = df.groupBy("url").agg(*aggs)
+    total = _plus([F.col(f"_n{i}") for i in range(len(sources))])
+    if min_length:
+        votes = votes.filter(_per_url(F.length("url"), total) >= min_length)
     labels = [
         F.when(F.col(f"_n{i}") > 0, (F.col(f"_p{i}") * 2 >= F.col(f"_n{i}")).cast("tinyint")).alias(
             vote_column(source)
@@ -79,7 +93,7 @@ def apply_corpus_policy(
     """Reshape one corpus whose two classes differ in surface form.
 
     ``exclude`` drops its benign votes, ``domains-only`` reduces its malicious urls to
-    their registered domain and de-duplicates that corpus again.
+    their registered domain and de-duplicates that corpus again; a domain may be short.
     """
     if policy not in CORPUS_POLICIES:
         raise ValueError(f"unknown corpus policy: {policy}")
@@ -92,7 +106,7 @@ def apply_corpus_policy(
     rows = with_group(per_source_rows(votes, sources), "url", "_domain")
     moved = (F.col("source") == source) & (F.col("label") == 1)
     rows = rows.withColumn("url", F.when(moved, F.col("_domain")).otherwise(F.col("url")))
-    return corpus_votes(rows.drop("_domain"), sources)
+    return corpus_votes(rows.drop("_domain"), sources, min_length=0)
 
 
 def merge_votes(
@@ -123,7 +137,8 @@ def merge_votes(
         {"label": tie_up.cast("tinyint"), "contested": (pos > 0) & (pos < n)}
     )
     kept = ~F.col("contested") if conflict_policy == "drop" else F.lit(True)
-    df = with_group(df.withColumns({"kept": kept, "has_host": F.length(site_host("url")) > 0}))
+    host = _per_url(F.length(site_host("url")), n) > 0
+    df = with_group(df.withColumns({"kept": kept, "has_host": host}))
     return df.select(
         "url", "label", "group", "source_dataset", "n_sources", "contested", "kept", "has_host"
     )
@@ -149,7 +164,7 @@ def consolidate(
     policy_source: str | None = None,
 ) -> DataFrame:
     """Raw (url, label, source) rows -> merged rows, see :func:`merge_votes`."""
-    votes = corpus_votes(clean_urls(df), sources)
+    votes = corpus_votes(normalized_rows(df), sources)
     if policy_source is not None:
         votes = apply_corpus_policy(votes, sources, policy_source, corpus_policy)
     return merge_votes(votes, sources, conflict_policy)
@@ -157,8 +172,11 @@ def consolidate(
 
 def harmonize_rows(df: DataFrame) -> DataFrame:
     """The other consensus rule: every raw row has one vote, whatever its corpus."""
-    votes = clean_urls(df).groupBy("url").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label") == 1).alias("_p")
+    votes = (
+        normalized_rows(df)
+        .groupBy("url")
+        .agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label") == 1).alias("_p"))
+        .filter(_per_url(F.length("url"), F.col("_n")) >= MIN_LENGTH)
     )
     label = (F.col("_p") * 2 >= F.col("_n")).cast("tinyint")
     return with_group(votes.select("url", label.alias("label")))
