@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from urlsieve.constants import (
     BRANDS, DEFAULT_TLD_RISK, FEATURE_NAMES, KEYWORDS, SPECIAL_CHARS, TLD_RISK,
 )
-from urlsieve.functions.basic import count_any, count_text, round4, safe_ratio
+from urlsieve.functions.basic import CHAR_START, count_any, count_text, round4, safe_ratio
 from urlsieve.functions.brands import (
     NO_CANDIDATE, best_brand_code, code_brand, code_distance, host_tokens,
 )
@@ -71,8 +71,11 @@ def longest_run(c: Column) -> Column:
 
 
 def trigram_diversity(c: Column) -> Column:
-    """Distinct over all character trigrams; a look-ahead finds the overlapping ones."""
-    grams = F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1))
+    """Distinct over all character trigrams; a look-ahead finds the overlapping ones.
+
+    It must not start in the middle of a surrogate pair.
+    """
+    grams = F.regexp_extract_all(c, F.lit(rf"(?s)(?=({CHAR_START}..))"), F.lit(1))
     return F.when(F.length(c) < 3, F.lit(1.0)).otherwise(
         round4(F.size(F.array_distinct(grams)) / (F.length(c) - 2))
     )

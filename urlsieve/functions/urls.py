@@ -115,7 +115,7 @@ _IPV6 = "|".join(
     ]
     + [rf"(({_H16}:){{0,5}}{_H16})?::{_H16}", rf"(({_H16}:){{0,6}}{_H16})?::"]
 )
-_BRACKETED_HOST = rf"^\[(({_IPV6})(%[^%\]]+)?|v[0-9a-fA-F]+\.[^\]]+)\](:.*)?$"
+_BRACKETED_HOST = rf"^(({_IPV6})(%[^%]+)?|v[0-9a-fA-F]+\..+)$"
 
 # Characters that a compatibility normalisation turns into a url delimiter; an
 # authority holding one is rejected by the usual parser.
@@ -126,7 +126,11 @@ _DISGUISED_DELIMITERS = "".join(
     and set("/?#@:") & set(unicodedata.normalize("NFKC", chr(c)))
 )
 
-PART_COLUMNS = ["_u", "_host", "_path", "_query"]
+
+def _inside_brackets(text: Column) -> Column:
+    """What stands between the first "[" and the next "]"."""
+    after = F.substr(text, F.instr(text, "[") + 1)
+    return F.substring_index(after, "]", 1)
 
 
 def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -143,27 +147,27 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     df = df.withColumn("_nofrag", F.substring_index("_rest", "#", 1))
     df = df.withColumn("_noquery", F.substring_index("_nofrag", "?", 1))
     df = df.withColumn("_auth", F.substring_index("_noquery", "/", 1))
-    bracket = F.contains(c("_auth"), F.lit("[")) | F.contains(c("_auth"), F.lit("]"))
     df = df.withColumns(
         {
             "_hostport": F.substring_index("_auth", "@", -1),
             "_fullpath": F.substr(c("_noquery"), F.length("_auth") + 1),
-            "_bracket": bracket,
         }
     )
+    opened, closed = (F.contains(c("_auth"), F.lit(b)) for b in "[]")
+    # Brackets have to come in pairs and to hold an IPv6 (or IPvFuture) address.
+    addressed = opened & closed & _inside_brackets(c("_auth")).rlike(_BRACKETED_HOST)
     unsafe = (F.octet_length("_auth") > F.length("_auth")) & c("_auth").rlike(
         f"[{_DISGUISED_DELIMITERS}]"
     )
     df = df.withColumns(
         {
-            "_bad": unsafe | (c("_bracket") & ~c("_hostport").rlike(_BRACKETED_HOST)),
+            "_bad": unsafe | ((opened | closed) & ~addressed),
             "_leaf": F.substring_index("_fullpath", "/", -1),
         }
     )
-    inside = F.substring_index(F.substring_index("_hostport", "[", -1), "]", 1)
     host = (
         F.when(c("_bad"), F.substring_index("_u", "/", 1))
-        .when(c("_bracket"), inside)
+        .when(F.contains(c("_hostport"), F.lit("[")), _inside_brackets(c("_hostport")))
         .otherwise(F.substring_index("_hostport", ":", 1))
     )
     # ";params" of the last segment do not belong to the path.
@@ -179,5 +183,5 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     )
     return df.drop(
         "_rest", "_nofrag", "_noquery", "_auth", "_hostport", "_fullpath",
-        "_bracket", "_bad", "_leaf",
+        "_bad", "_leaf",
     )

@@ -93,7 +93,8 @@ def path_or_not_https(url: Column) -> Column:
 
 
 def disagreement(votes: DataFrame, sources: Sequence[str]) -> DataFrame:
-    """Per pair of corpora: shared urls and disagreements in both directions.
+    """Per pair of corpora that share urls: their number and the disagreements in both
+    directions.
 
     The votes of one url sit in one row, so no self-join is needed: one global
     aggregation holds a few counters per pair.
@@ -119,7 +120,7 @@ def disagreement(votes: DataFrame, sources: Sequence[str]) -> DataFrame:
             for i, (a, b) in enumerate(pairs)
         ]
     )
-    out = votes.agg(*aggs).select(F.inline(rows))
+    out = votes.agg(*aggs).select(F.inline(rows)).filter("shared > 0")
     both = F.col("only_a_malicious") + F.col("only_b_malicious")
     return out.withColumn("disagreement", round4(safe_ratio(both, F.col("shared"))))
 

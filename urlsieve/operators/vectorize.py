@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from urlsieve.constants import FEATURE_NAMES
-from urlsieve.functions.basic import as_col
+from urlsieve.functions.basic import CHAR_START, as_col
 
 GRAM_SIZES = (3, 4, 5)
 VOCABULARY_SIZE = 20_000
@@ -30,10 +30,12 @@ def char_ngrams(text: Column | str, sizes: tuple[int, ...] = GRAM_SIZES) -> Colu
     """
     words = F.btrim(F.regexp_replace(F.lower(as_col(text)), _BLANK, "  "), F.lit(" "))
     padded = F.when(F.length(words) > 0, F.concat(F.lit(" "), words, F.lit(" "))).otherwise("")
-    grams = [
-        F.regexp_extract_all(padded, F.lit(f"(?s)(?=({'(?!  ).' * (n - 1)}.))"), F.lit(1)) for n in sizes
-    ]
-    return F.concat(*grams)
+
+    def grams(n: int) -> Column:
+        pattern = rf"(?s)(?=((?!  ){CHAR_START}{'(?!  ).' * (n - 2)}.))"
+        return F.regexp_extract_all(padded, F.lit(pattern), F.lit(1))
+
+    return F.concat(*[grams(n) for n in sizes])
 
 
 def with_term_counts(df: DataFrame, text: str, out: str = "terms") -> DataFrame:
