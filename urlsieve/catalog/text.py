@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from urlsieve.catalog import relations as R
 from urlsieve.catalog import sql as S
 from urlsieve.operators.vectorize import term_rows, tfidf_weights, vocabulary, weighted_terms
+from urlsieve.session import materialize
 
 TOP = 2000
 
@@ -22,7 +23,7 @@ def ngram_vocab_topk(spark, sf):
 
 def tfidf(spark, sf):
     docs = R.documents_for_text(spark, sf)
-    vocab = vocabulary(docs, "url", TOP)
+    vocab = materialize(vocabulary(docs, "url", TOP), "vocabulary")
     weights = tfidf_weights(weighted_terms(docs, "url", "url", vocab, TOP), "url", vocab)
     return weights.withColumn("weight", F.bround("weight", 6))
 

@@ -19,7 +19,7 @@ from urlsieve.functions.urls import has_path, has_scheme
 from urlsieve.operators.consolidate import vote_column
 
 
-def surface_audit(df: DataFrame, by: str | None = None) -> DataFrame:
+def surface_audit(df: DataFrame, by: str | None = None, class_counts: bool = False) -> DataFrame:
     """How well "malicious iff the url has a path" predicts the label.
 
     Rates without rows are null. 0.5 accuracy means the shape carries no signal.
@@ -30,7 +30,11 @@ def surface_audit(df: DataFrame, by: str | None = None) -> DataFrame:
         value = cond.cast("double")
         return F.bround(F.avg(value if given is None else F.when(given, value)), 6)
 
+    extra = []
+    if class_counts:
+        extra = [F.count_if(~bad).alias("benign"), F.count_if(bad).alias("phishing")]
     return df.groupBy(*([by] if by else [])).agg(
+        *extra,
         F.count(F.lit(1)).alias("n_rows"),
         share(path).alias("pct_with_path"),
         share(path, ~bad).alias("pct_with_path_benign"),

@@ -110,7 +110,8 @@ def apply_corpus_policy(
 
 
 def merge_votes(
-    votes: DataFrame, sources: Sequence[str], conflict_policy: str = "phishing"
+    votes: DataFrame, sources: Sequence[str], conflict_policy: str = "phishing",
+    keep_votes: bool = False,
 ) -> DataFrame:
     """One vote per corpus -> label, provenance and group of every url.
 
@@ -125,8 +126,10 @@ def merge_votes(
     present = [F.col(vote_column(s)).isNotNull().cast("int") for s in sources]
     positive = [F.coalesce(F.col(vote_column(s)).cast("int"), F.lit(0)) for s in sources]
     names = [F.when(F.col(vote_column(s)).isNotNull(), F.lit(s)) for s in sorted(sources)]
+    own = [vote_column(s) for s in sources] if keep_votes else []
     df = votes.select(
         "url",
+        *own,
         _plus(present).alias("n_sources"),
         _plus(positive).alias("_pos"),
         F.concat_ws("+", *names).alias("source_dataset"),
@@ -140,7 +143,7 @@ def merge_votes(
     host = _per_url(F.length(site_host("url")), n) > 0
     df = with_group(df.withColumns({"kept": kept, "has_host": host}))
     return df.select(
-        "url", "label", "group", "source_dataset", "n_sources", "contested", "kept", "has_host"
+        "url", "label", "group", "source_dataset", "n_sources", "contested", "kept", "has_host", *own
     )
 
 

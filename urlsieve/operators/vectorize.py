@@ -95,7 +95,11 @@ def weighted_terms(df: DataFrame, key: str, text: str, vocab: DataFrame, k: int
     vocabulary has at most k rows; beyond BROADCAST_TERMS the hint is left out and the
     join shuffles. A key without known grams keeps its row.
     """
-    counted = with_term_counts(df.select(key, F.col(text).alias("_text")).repartition(key), "_text")
+    # A given number of partitions: left to itself the engine would merge them by the
+    # bytes of the unexploded rows.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = df.select(key, F.col(text).alias("_text")).repartition(parts, key)
+    counted = with_term_counts(texts, "_text")
     terms = counted.select(key, F.posexplode_outer("terms").alias("_pos", "_term"))
     side = vocab.select("gram", "idx", "idf")
     joined = terms.withColumn("gram", F.col("_term.gram")).join(
@@ -103,16 +107,20 @@ def weighted_terms(df: DataFrame, key: str, text: str, vocab: DataFrame, k: int
     )
     weight = (1 + F.ln(F.col("_term.tf"))) * F.col("idf")
     known = F.when(F.col("idx").isNotNull(), F.struct("idx", weight.alias("w")))
+    # The norm is aggregated here and not folded from the array afterwards: as a
+    # projection it would be copied into the division and folded once per element.
     grouped = (
         joined.filter(F.col("idx").isNotNull() | (F.coalesce("_pos", F.lit(0)) == 0))
         .groupBy(key)
-        .agg(F.sort_array(F.collect_list(known)).alias("_t"))
+        .agg(
+            F.sort_array(F.collect_list(known)).alias("_t"),
+            F.sum(F.when(F.col("idx").isNotNull(), weight * weight)).alias("_sq"),
+        )
     )
-    norm = F.sqrt(F.aggregate("_t", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
-    return grouped.withColumn("_norm", norm).select(
+    return grouped.select(
         key,
         F.col("_t.idx").alias("indices"),
-        F.transform("_t.w", lambda w: w / F.col("_norm")).alias("values"),
+        F.transform("_t.w", lambda w: w / F.sqrt("_sq")).alias("values"),
     )
 
 
