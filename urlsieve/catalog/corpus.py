@@ -51,7 +51,7 @@ def label_maps(corpus, fn):
     def query(spark, sf):
         df = corpus(spark, sf)
         name = df.columns[1]
-        return df.groupBy(F.col(name).alias("raw"), fn(F.col(name)).alias("label")).agg(
+        return df.dropna(subset=[name]).groupBy(F.col(name).alias("raw"), fn(F.col(name)).alias("label")).agg(
             F.count(F.lit(1)).alias("n")
         )
 
@@ -191,7 +191,7 @@ QUERIES = {
 
 def _label_sql(corpus: str, column: str, expr: str) -> str:
     return f"""WITH {S.CORPORA} SELECT {column} AS raw, ({expr})::TINYINT AS label, count(*) AS n
-FROM {corpus} GROUP BY 1, 2"""
+FROM {corpus} WHERE {column} IS NOT NULL GROUP BY 1, 2"""
 
 
 def _with(ctes: str, select: str) -> str:
@@ -222,7 +222,7 @@ ORACLES = {
         "(VALUES ('parquet'), ('csv')) f(format)",
     ),
     "label_map_a": _label_sql(
-        "corpus_a", "type", "CASE WHEN type IS NULL THEN NULL WHEN lower(trim(type)) = 'benign' THEN 0 ELSE 1 END"
+        "corpus_a", "type", "CASE WHEN lower(trim(type)) = 'benign' THEN 0 ELSE 1 END"
     ),
     "label_map_b": _label_sql("corpus_b", "label", "CASE WHEN lower(trim(label)) = 'good' THEN 0 ELSE 1 END"),
     "label_map_c": _label_sql(

@@ -17,6 +17,7 @@ from urlsieve.constants import BRANDS, COMMON_TLDS
 LENGTH_BAND = 2
 NO_CANDIDATE = 10
 BROADCAST_ROWS = 100_000
+CANDIDATES = "array<struct<idx:int,brand:string>>"
 
 
 def host_tokens(host: Column) -> Column:
@@ -28,18 +29,24 @@ def host_tokens(host: Column) -> Column:
 
 
 def _candidates_by_length(brands: Sequence[str]) -> tuple[Column, int]:
-    """Brands within the length band, indexed by token length."""
+    """Brands within the length band, indexed by token length, as one literal.
+
+    Given as SQL text: hundreds of small column objects take seconds to build.
+    """
     top = max(len(b) for b in brands) + LENGTH_BAND + 1
     rows = []
     for n in range(top + 1):
         near = [
-            F.struct(F.lit(i).alias("idx"), F.lit(b).alias("brand"))
+            f"named_struct('idx', {i}, 'brand', {_quoted(b)})"
             for i, b in enumerate(brands)
             if n >= 3 and abs(len(b) - n) <= LENGTH_BAND
         ]
-        none = F.from_json(F.lit("[]"), "array<struct<idx:int,brand:string>>")
-        rows.append(F.array(*near) if near else none)
-    return F.array(*rows), top
+        rows.append(f"array({', '.join(near)})" if near else f"cast(array() as {CANDIDATES})")
+    return F.expr(f"array({', '.join(rows)})"), top
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def best_brand_code(tokens: Column, brands: Sequence[str] = BRANDS) -> Column:
@@ -65,7 +72,8 @@ def code_distance(code: Column, brands: Sequence[str] = BRANDS) -> Column:
 
 
 def code_brand(code: Column, brands: Sequence[str] = BRANDS) -> Column:
-    return F.get(F.array(*[F.lit(b) for b in brands]), (code % F.lit(len(brands))).cast("int"))
+    names = F.expr(f"array({', '.join(_quoted(b) for b in brands)})")
+    return F.get(names, (code % F.lit(len(brands))).cast("int"))
 
 
 def brand_match(
