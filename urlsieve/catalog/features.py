@@ -10,7 +10,7 @@ from urlsieve.catalog import sql as S
 from urlsieve.constants import FEATURE_NAMES, SMOKE_URLS
 from urlsieve.functions.brands import brand_dim, brand_exact, brand_match
 from urlsieve.functions.features import extract_features
-from urlsieve.functions.urls import normalize_url, url_parts, with_group
+from urlsieve.functions.urls import normalize_url, url_parts
 from urlsieve.operators.audit import counterfactual_features
 from urlsieve.operators.vectorize import fit_scaler, scale
 from urlsieve.plans.train import smoke_relation
