@@ -2,13 +2,14 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
+from urlsieve.catalog import all_oracles, all_queries
 
-SQL = oracle_sql()
+SQL = all_oracles()
 
 
 def test_every_query_is_named_once():
-    assert set(SQL) <= set(queries())
-    assert set(queries()) - set(SQL) == {
+    assert set(SQL) <= set(oracle_sql()) <= set(queries())
+    assert set(all_queries()) - set(SQL) == {
         "nlp_scores", "nn_scores", "tree_scores", "hybrid_scores", "feature_importance", "score_all", "smoke_verdicts"
     }
 
