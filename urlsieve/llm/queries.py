@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from urlsieve.llm.bitplanes import document_digests, write_planes
+from urlsieve.llm.piece_bpe import encode_pieces
 from urlsieve.llm.ring import shard_documents
+from urlsieve.llm.store import scratch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "bitplanes")
+    write_planes(documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return document_digests(spark, out)
+
+
 def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
 QUERIES = {
+    "op2_bitplanes": op2_bitplanes,
     "op6_ring": op6_ring,
+    "op8_piece_bpe": op8_piece_bpe,
 }
 ORACLES: dict[str, str] = {}
