@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from urlsieve.llm.bitplanes import document_digests, write_planes
+from urlsieve.llm.debruijn import drop_repeats
 from urlsieve.llm.piece_bpe import encode_pieces
 from urlsieve.llm.ring import shard_documents
 from urlsieve.llm.store import scratch
@@ -25,6 +26,10 @@ def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(documents(spark, sf_dir), digest=True)
+
+
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
@@ -32,6 +37,7 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bitplanes": op2_bitplanes,
     "op6_ring": op6_ring,
+    "op7_debruijn": op7_debruijn,
     "op8_piece_bpe": op8_piece_bpe,
 }
 ORACLES: dict[str, str] = {}
