@@ -9,6 +9,7 @@ from urlsieve.llm.bitplanes import document_digests, write_planes
 from urlsieve.llm.debruijn import drop_repeats
 from urlsieve.llm.piece_bpe import encode_pieces
 from urlsieve.llm.ring import shard_documents
+from urlsieve.llm.simhash import simhash_components
 from urlsieve.llm.store import scratch
 
 
@@ -22,6 +23,10 @@ def op2_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_digests(spark, out)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -36,6 +41,7 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bitplanes": op2_bitplanes,
+    "op3_simhash": op3_simhash,
     "op6_ring": op6_ring,
     "op7_debruijn": op7_debruijn,
     "op8_piece_bpe": op8_piece_bpe,
