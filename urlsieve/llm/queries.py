@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from urlsieve.llm.bitplanes import document_digests, write_planes
 from urlsieve.llm.debruijn import drop_repeats
+from urlsieve.llm.mixing import taken_words
 from urlsieve.llm.piece_bpe import encode_pieces
 from urlsieve.llm.ring import shard_documents
 from urlsieve.llm.simhash import simhash_components
@@ -39,11 +40,16 @@ def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_bitplanes": op2_bitplanes,
     "op3_simhash": op3_simhash,
     "op6_ring": op6_ring,
     "op7_debruijn": op7_debruijn,
     "op8_piece_bpe": op8_piece_bpe,
+    "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {}
