@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from urlsieve.llm.bitplanes import document_digests, write_planes
 from urlsieve.llm.debruijn import drop_repeats
 from urlsieve.llm.mixing import taken_words
+from urlsieve.llm.outliers import STATS, judge
 from urlsieve.llm.piece_bpe import encode_pieces
 from urlsieve.llm.ring import shard_documents
 from urlsieve.llm.simhash import simhash_components
@@ -28,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op5_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir)).drop(*STATS)
+
+
 def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bitplanes": op2_bitplanes,
     "op3_simhash": op3_simhash,
+    "op5_mcd": op5_mcd,
     "op6_ring": op6_ring,
     "op7_debruijn": op7_debruijn,
     "op8_piece_bpe": op8_piece_bpe,
