@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from urlsieve.llm.bitplanes import document_digests, write_planes
 from urlsieve.llm.debruijn import drop_repeats
@@ -12,7 +13,8 @@ from urlsieve.llm.outliers import STATS, judge
 from urlsieve.llm.piece_bpe import encode_pieces
 from urlsieve.llm.ring import shard_documents
 from urlsieve.llm.simhash import simhash_components
-from urlsieve.llm.store import scratch
+from urlsieve.llm.store import fold_of, scratch
+from urlsieve.llm.toxicity import fit, score
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = fold_of("doc_id", 4) == 2
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op5_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).drop(*STATS)
 
@@ -52,6 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bitplanes": op2_bitplanes,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_mcd": op5_mcd,
     "op6_ring": op6_ring,
     "op7_debruijn": op7_debruijn,

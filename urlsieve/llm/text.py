@@ -31,13 +31,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the first word of each text (one more than texts)."""
+def spans(data: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the first word of each text (one more than texts).
+
+    ``between`` marks the bytes that part words.
+    """
     n = data.size
     if not n:
         none = np.empty(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    gap = SPACE[data]
+    gap = between[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     before, after = edge[:-1].copy(), edge[1:].copy()
