@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlsieve.llm import brown
 from urlsieve.llm.bitplanes import document_digests, write_planes
 from urlsieve.llm.debruijn import drop_repeats
 from urlsieve.llm.mixing import taken_words
@@ -21,6 +22,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold_of("doc_id", 5) == 1
+    scored = brown.score(docs, *brown.train(docs.filter(~held_out).select("text")))
+    return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
+
+
 def op2_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "bitplanes")
     write_planes(documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,6 +67,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_brown": op1_brown,
     "op2_bitplanes": op2_bitplanes,
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
