@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from urlsieve.llm import brown
 from urlsieve.llm.bitplanes import document_digests, write_planes
 from urlsieve.llm.debruijn import drop_repeats
+from urlsieve.llm.hnsw import nearest
 from urlsieve.llm.mixing import taken_words
 from urlsieve.llm.outliers import STATS, judge
 from urlsieve.llm.piece_bpe import encode_pieces
@@ -66,6 +67,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(documents(spark, sf_dir))
 
 
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_brown": op1_brown,
     "op2_bitplanes": op2_bitplanes,
@@ -76,5 +81,6 @@ QUERIES = {
     "op7_debruijn": op7_debruijn,
     "op8_piece_bpe": op8_piece_bpe,
     "op9_mixing": op9_mixing,
+    "op10_hnsw": op10_hnsw,
 }
 ORACLES: dict[str, str] = {}
