@@ -8,7 +8,7 @@ from urlsieve.catalog import relations as R
 from urlsieve.functions.labels import label_a, label_b, label_c
 from urlsieve.operators.models import ModelConfig, load_models, score
 from urlsieve.plans.build_master import build_master
-from urlsieve.plans.train import smoke_relation, train
+from urlsieve.plans.train import smoke_relation, train, training_rows
 from urlsieve.session import scratch_path, shared_dir
 from urlsieve.sources import master as M
 from urlsieve.sources.corpora import (
@@ -56,6 +56,24 @@ def test_quoted_line_breaks_are_found(spark, tmp_path):
     assert {r.url for r in rows} == {"a.com/\nx", "b.com"}
 
 
+def test_a_stray_quote_keeps_the_file_split(spark, tmp_path):
+    stray = put(tmp_path, "stray.csv", 'url,type\na.com/"x,benign\n"b.com,y",phishing\nc.com,be"nign\n"d""q",benign\n')
+    assert not has_quoted_line_breaks(spark, stray)
+
+
+def test_training_rows_without_a_master(spark, sf, built):
+    _, specs, _ = built
+    rows = training_rows(spark, "/nowhere", specs)
+    assert rows.columns == ["url", "label", "group"] and rows.count() == rows.select("url").distinct().count() > 0
+
+
+def test_csv_master_keeps_line_breaks(spark):
+    root = scratch_path(spark, "breaks")
+    rows = [("a.com/x\ny", 1, "a.com", "s"), ("b.com", 0, "b.com", "s")]
+    M.write_table(spark.createDataFrame(rows, "url string, label int, group string, source_dataset string"), root, ("csv",))
+    assert {r.url for r in M.read_master(spark, root).collect()} == {"a.com/x\ny", "b.com"}
+
+
 def test_missing_sources(spark, tmp_path):
     a = put(tmp_path, "malicious_phish.csv", CSV_A)
     assert a and read_corpora(spark, public_corpora(str(tmp_path)))[1] == ["malicious_phish"]
@@ -90,6 +108,7 @@ def test_build_master(spark, sf, built):
     assert manifest["surface_form_audit"]["master"]["n_rows"] == totals["unique_urls"]
     assert set(manifest["per_source"]) == set(R.SOURCES)
     assert json.dumps(M.read_json(spark, f"{root}/out/{M.MANIFEST}")) == json.dumps(manifest)
+    assert {f: o["bytes"] > 0 for f, o in manifest["outputs"].items()} == {"parquet": True, "csv": True}
     text = spark.read.option("header", True).option("escape", '"').csv(f"{root}/out/{M.CSV}")
     assert text.count() == rows.count()
 
@@ -119,7 +138,7 @@ def test_csv_master_fallback(spark, sf):
 @pytest.fixture(scope="module")
 def trained(spark, sf, built):
     root = built[0]
-    master = R.master_table(spark, sf).withColumn("group", F.regexp_extract("url", "^[^/?#]*", 0))
+    master = training_rows(spark, f"{root}/out")
     cfg = ModelConfig(
         vocabulary_size=200, linear_iterations=10, nn_hidden=(8,), nn_iterations=(5, 20), tree_rounds=3,
         hybrid_rounds=2, tree_depth=3, hybrid_bins=32,
@@ -129,6 +148,11 @@ def trained(spark, sf, built):
 
 def test_training_job(spark, trained):
     root, report = trained
+    assert set(report["validation"]) == set(report["models"])
+    metrics = M.read_json(spark, f"{root}/run/evaluation_metrics")
+    assert metrics["validation"] == report["validation"] and metrics["updated_at"] == report["updated_at"]
+    manifest = M.read_json(spark, f"{root}/run/run_manifest")
+    assert all(M.path_bytes(spark, f"{root}/run/{a}") > 0 for a in manifest["artifacts"])
     assert set(report["models"]) == {"nlp", "nn", "tree", "hybrid", "champion", "serving"}
     for m in report["models"].values():
         assert m["tp"] + m["fp"] + m["tn"] + m["fn"] == report["test_set_size"]
@@ -171,7 +195,9 @@ def test_stream_scores(spark, sf, trained):
     root = scratch_path(spark, "stream")
     stream = url_stream(spark, sf, pages.schema, "pages.parquet").select("url")
     stream_scores(stream, models, f"{root}/sink", f"{root}/cp").awaitTermination()
-    assert spark.read.parquet(f"{root}/sink").count() == pages.select("url").distinct().count()
+    got = spark.read.parquet(f"{root}/sink")
+    assert got.count() == pages.count() and got.filter("p_serving is null").isEmpty()
+    assert got.select("raw_url").exceptAll(pages.select("url")).isEmpty()
 
 
 def test_shared_dir_comes_from_the_session(spark):

@@ -95,3 +95,16 @@ def test_labels(spark):
 def test_normalized_variants_agree(spark, page_urls):
     df = frame(spark, page_urls).withColumn("bare", F.regexp_replace("url", "^https?://", ""))
     assert df.filter(normalize_url("url") != normalize_url("bare")).isEmpty()
+
+
+def test_disguised_delimiters_are_all_there():
+    import sys
+    import unicodedata
+
+    from urlsieve.functions.urls import _DISGUISED_DELIMITERS
+
+    want = {
+        chr(c) for c in range(128, sys.maxunicode + 1)
+        if unicodedata.decomposition(chr(c)) and set("/?#@:") & set(unicodedata.normalize("NFKC", chr(c)))
+    }
+    assert set(_DISGUISED_DELIMITERS) == want

@@ -65,6 +65,24 @@ def test_weights_use_one_shuffle(docs, spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
 
 
+def test_equal_keys_are_one_row(spark):
+    df = spark.createDataFrame([("abc", 1), ("abc", 1), ("xyz", 2)], "url string, n int")
+    vocab = V.vocabulary(df.select("url").distinct(), "url", 50)
+    got = V.weighted_terms(df, "url", "url", vocab, 50, ("n",)).collect()
+    assert sorted((r.url, r.n) for r in got) == [("abc", 1), ("xyz", 2)]
+    for r in got:
+        assert len(set(r.indices)) == len(r.indices) and sum(x * x for x in r["values"]) == pytest.approx(1)
+
+
+def test_vectors_use_one_hash_exchange(spark):
+    from urlsieve.operators import models as M
+
+    df = spark.createDataFrame([(f"a{i}.com/x", float(i % 2), "train") for i in range(20)], "url string, label double, split string")
+    vec = M.fit_vectorizer(df.select("url"), M.ModelConfig(vocabulary_size=30))
+    plan = M.vectorize(df, vec)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_scaler(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     stats = V.fit_scaler(df, ["a", "b"])

@@ -18,11 +18,15 @@ MASTER = "SELECT url, label::TINYINT AS label, \"group\", source_dataset FROM ma
 
 
 def scan_csv_corpus(spark, sf):
-    """Write two corpora as CSV, read them back through their specs."""
+    """Write the corpora as CSV, each in its dialect, and read them back through their specs."""
     root = scratch_path(spark, "corpora")
     for name, corpus in (("a", R.corpus_a), ("b", R.corpus_b)):
         corpus(spark, sf).write.option("header", True).option("escape", '"').csv(f"{root}/{name}.csv")
+    # the third has a byte order mark, further columns and the flipped label
+    third = R.corpus_c(spark, sf).select(F.lit("f").alias("\ufeffFILENAME"), "URL", F.lit(9).alias("junk"), "label")
+    third.write.option("header", True).option("escape", '"').csv(f"{root}/c.csv")
     specs = [
+        SourceSpec("corpus_c", (f"{root}/c.csv",), "URL", "label", label_c),
         SourceSpec("corpus_a", (f"{root}/missing.csv", f"{root}/a.csv"), "url", "type", label_a),
         SourceSpec("corpus_b", (f"{root}/b.csv",), "other", "names", label_b),
         SourceSpec("absent", (f"{root}/absent.csv",), "url", "label", label_c),
@@ -60,10 +64,13 @@ def label_maps(corpus, fn):
 
 def length_filter(spark, sf):
     raw = R.raw_rows(spark, sf)
-    return raw.groupBy("source").agg(
+    long = F.length(strip_ws(F.col("raw"))) > 3
+    counted = with_normalized(raw.withColumnRenamed("url", "raw"), "raw", "url")
+    return counted.groupBy("source").agg(
         F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(F.length(strip_ws(F.col("url"))) > 3).alias("long_rows"),
-    ).join(con.clean_urls(raw).groupBy("source").agg(F.count(F.lit(1)).alias("clean_rows")), "source")
+        F.count_if(long).alias("long_rows"),
+        F.count_if(long & (F.length("url") > 3)).alias("clean_rows"),
+    )
 
 
 def normalize_url(spark, sf):
@@ -103,23 +110,16 @@ SPLIT_SQL = f"""CASE WHEN {S.bucket('42', '"group"')} < 15 THEN 'test'
   WHEN {S.bucket('42', '"group"')} < 30 THEN 'val' ELSE 'train' END"""
 
 
-# The split key of the split queries is the whole host: the pages have few domains.
-def hosts_as_groups(spark, sf):
-    return R.master_table(spark, sf).withColumn("group", F.regexp_extract("url", "^[^/?#]*", 0))
-
-
-HOSTED = S.master() + """,
-hosted AS (SELECT url, label, regexp_extract(url, '^[^/?#]*', 0) AS "group" FROM master)"""
-SPLIT = HOSTED + f""",
-spl AS (SELECT url, label, "group", {SPLIT_SQL} AS split FROM hosted)"""
+SPLIT = S.master() + f""",
+spl AS (SELECT url, label, "group", {SPLIT_SQL} AS split FROM master)"""
 
 
 def group_split(spark, sf):
-    return split.group_split(hosts_as_groups(spark, sf)).select("url", "label", "group", "split")
+    return split.group_split(R.master_table(spark, sf)).select("url", "label", "group", "split")
 
 
 def group_split_exact(spark, sf):
-    return split.group_split_exact(hosts_as_groups(spark, sf)).select("url", "group", "split")
+    return split.group_split_exact(R.master_table(spark, sf)).select("url", "group", "split")
 
 
 def bare_domain_augment(spark, sf):
@@ -127,13 +127,7 @@ def bare_domain_augment(spark, sf):
 
 
 def split_leakage(spark, sf):
-    df = split.augment_bare_domains(group_split(spark, sf))
-    rows = df.select("url", "split").withColumn("group", F.regexp_extract("url", "^[^/?#]*", 0))
-    by_domain = with_group(df.select("url", "split"))
-    return (
-        split.split_leakage(rows).withColumn("key", F.lit("split key"))
-        .unionByName(split.split_leakage(by_domain).withColumn("key", F.lit("registered domain")))
-    )
+    return split.split_leakage(split.augment_bare_domains(group_split(spark, sf)))
 
 
 def keep_first(spark, sf):
@@ -213,7 +207,7 @@ _RULE = """(contains(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.\
 ORACLES = {
     "master_table": _with(S.master(), MASTER),
     "scan_csv_corpus": _with(
-        S.CORPORA, "SELECT url, label::TINYINT AS label, source FROM raw WHERE source <> 'corpus_c'"
+        S.CORPORA, "SELECT url, label::TINYINT AS label, source FROM raw"
     ),
     "scan_master": _with(S.master(), 'SELECT url, label::INT AS label, "group" FROM master'),
     "sink_roundtrip": _with(
@@ -307,14 +301,14 @@ FROM raw GROUP BY 1, 2""",
     ),
     "group_split": _with(SPLIT, 'SELECT url, label::TINYINT AS label, "group", split FROM spl'),
     "group_split_exact": _with(
-        HOSTED
+        S.master()
         + f""",
 gs AS (SELECT "group", row_number() OVER (ORDER BY {S.digest('42', '"group"')}) AS r, count(*) OVER () AS g
-  FROM (SELECT DISTINCT "group" FROM hosted)),
+  FROM (SELECT DISTINCT "group" FROM master)),
 cut AS (SELECT "group", r, ceil(0.15::DOUBLE * g) AS t,
   ceil((0.15::DOUBLE / (1 - 0.15::DOUBLE)) * (g - ceil(0.15::DOUBLE * g))) AS v FROM gs)""",
         """SELECT url, "group", CASE WHEN r <= t THEN 'test' WHEN r <= t + v THEN 'val' ELSE 'train' END AS split
-FROM hosted JOIN cut USING ("group")""",
+FROM master JOIN cut USING ("group")""",
     ),
     "split_counts": _with(SPLIT, "SELECT split, label::TINYINT AS label, count(*) AS n FROM spl GROUP BY 1, 2"),
     "bare_domain_augment": _with(
@@ -327,16 +321,12 @@ WHERE g NOT IN (SELECT url FROM spl WHERE split = 'train')""",
     "split_leakage": _with(
         SPLIT
         + f""",
-aug AS (SELECT url, split FROM spl
+aug AS (SELECT "group", split FROM spl
   UNION ALL SELECT g, 'train' FROM
   (SELECT DISTINCT "group" AS g FROM spl WHERE split = 'train' AND label = 0 AND {S.bucket('7', '"group"')} < 50)
-  WHERE g NOT IN (SELECT url FROM spl WHERE split = 'train')),
-{S.with_domain('dom', 'aug')}""",
-        """SELECT count(*) AS overlap, 'split key' AS key FROM
-  (SELECT regexp_extract(url, '^[^/?#]*', 0) FROM aug WHERE split = 'train'
-   INTERSECT SELECT regexp_extract(url, '^[^/?#]*', 0) FROM aug WHERE split = 'test')
-UNION ALL SELECT count(*), 'registered domain' FROM
-  (SELECT "group" FROM dom WHERE split = 'train' INTERSECT SELECT "group" FROM dom WHERE split = 'test')""",
+  WHERE g NOT IN (SELECT url FROM spl WHERE split = 'train'))""",
+        """SELECT count(*) AS overlap FROM
+  (SELECT "group" FROM aug WHERE split = 'train' INTERSECT SELECT "group" FROM aug WHERE split = 'test')""",
     ),
     "stratified_sample": _with(
         S.master()

@@ -1,8 +1,8 @@
 """Input relations that Spark derives from the given tables, over all of their rows.
 
 Three corpora that disagree: A holds every page url twice (as found and as http), B
-every page url without scheme, query and fragment, C bare hosts, some full urls and
-every link of every page. ``urls`` holds every page in nine shapes.
+every page url without scheme, query and fragment and a site per page, C bare hosts, some full urls and
+every link of every page. ``urls`` holds every page in nine shapes, and the links.
 """
 
 from __future__ import annotations
@@ -62,7 +62,10 @@ def corpus_b(spark: SparkSession, sf: str) -> DataFrame:
     p = pages(spark, sf).select("page_id", "url")
     url = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
     bad = (F.col("page_id") % 7 == 0) | F.col("url").rlike(SPAM_B)
-    return p.select(url.alias("URL"), F.when(bad, "bad").otherwise("good").alias("Label"))
+    found = p.select(url.alias("URL"), F.when(bad, "bad").otherwise("good").alias("Label"))
+    # the pages lie on a few sites; splits by site need many
+    site = F.concat(F.lit("s"), F.col("page_id"), F.lit(".net/"), F.col("page_id") % 3)
+    return found.unionByName(p.select(site.alias("URL"), F.when(F.col("page_id") % 7 == 0, "bad").otherwise("good").alias("Label")))
 
 
 def corpus_c(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +103,7 @@ def master_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """(page_id, variant, url): every page url as found, and eight derived shapes."""
+    """(page_id, variant, url): every page url as found, eight derived shapes and the links."""
     p = pages(spark, sf).select("page_id", "url")
     pid = F.col("page_id")
     rest = F.regexp_replace("url", "^https?://", "")
@@ -120,6 +123,7 @@ def url_shapes(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(s("https://"), brand, s(".com/"), num),
         F.concat(s("http://[2001:db8::"), (pid % 9999).cast("string"), s("]:443/x?a=1")),
         F.concat(s("  "), F.col("url"), s(" ")),
+        F.concat(s("HTTP-like[zz"), num, s("]/x?a=1")),
     ]
     rows = F.array(*[F.struct(F.lit(i).alias("variant"), x.alias("url")) for i, x in enumerate(shapes)])
     made = p.select("page_id", F.inline(rows))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from urlsieve.catalog import relations as R
 from urlsieve.catalog import sql as S
-from urlsieve.operators.vectorize import term_rows, tfidf_weights, vocabulary, weighted_terms
+from urlsieve.operators.vectorize import VOCABULARY_SIZE, term_rows, tfidf_weights, vocabulary, weighted_terms
 from urlsieve.session import materialize
 
-TOP = 2000
+TOP = VOCABULARY_SIZE
 
 
 def char_ngrams(spark, sf):

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.constants import SECOND_LEVEL_SUFFIXES
-from urlsieve.functions.basic import IPV4, as_col, count_text, strip_ws
+from urlsieve.functions.basic import as_col, count_text, strip_ws
 
 
 # One scheme, then one "www." label. Possessive, so a failed match never backtracks.
@@ -70,9 +67,11 @@ def _dotted(host: Column) -> Column:
 
 
 def is_ipv4(host: Column) -> Column:
-    """The pattern only runs on hosts that end in a digit."""
+    """Four labels of one to three digits, none above 255; only hosts that end in a digit are split."""
     last = F.right(host, F.lit(1))
-    return (last >= "0") & (last <= "9") & host.rlike(IPV4)
+    labels = F.split(host, r"\.")
+    small = F.forall(labels, lambda x: x.rlike("^[0-9]{1,3}$") & (F.coalesce(x.try_cast("int"), F.lit(256)) <= 255))
+    return F.when((last >= "0") & (last <= "9"), (F.size(labels) == 4) & small).otherwise(False)
 
 
 def _domain_of(host: Column, dotted: Column) -> Column:
@@ -117,13 +116,11 @@ _IPV6 = "|".join(
 )
 _BRACKETED_HOST = rf"^(({_IPV6})(%[^%]+)?|v[0-9a-fA-F]+\..+)$"
 
-# Characters that a compatibility normalisation turns into a url delimiter; an
-# authority holding one is rejected by the usual parser.
-_DISGUISED_DELIMITERS = "".join(
-    chr(c)
-    for c in range(128, sys.maxunicode + 1)
-    if unicodedata.decomposition(chr(c))
-    and set("/?#@:") & set(unicodedata.normalize("NFKC", chr(c)))
+# Characters that a compatibility normalisation turns into a url
+# delimiter; an authority holding one is rejected by the usual parser.
+_DISGUISED_DELIMITERS = (
+    "\u2047\u2048\u2049\u2100\u2101\u2105\u2106\u2a74\ufe13\ufe16\ufe55\ufe56\ufe5f\ufe6b"
+    "\uff03\uff0f\uff1a\uff1f\uff20"
 )
 
 

@@ -32,7 +32,10 @@ class ModelConfig:
     """Training parameters; the defaults are the published settings.
 
     Trees of at most 63 leaves become depth 6. ``nn_iterations`` lists candidate
-    training lengths of which the best by validation AUC is kept.
+    training lengths of which the best by validation AUC is kept. ``hybrid_rows`` bounds
+    the labelled rows that *fit* the hybrid trees: Spark's learner keeps one number per
+    feature and row, 80 KB a row at 20,030 features. Rows are taken by url hash, in equal
+    shares of either label; scoring and metrics cover all rows.
     """
 
     vocabulary_size: int = VOCABULARY_SIZE
@@ -46,6 +49,7 @@ class ModelConfig:
     hybrid_rounds: int = 350
     hybrid_rate: float = 0.08
     hybrid_bins: int = 63
+    hybrid_rows: int = 50_000
     tree_depth: int = 6
     row_share: float = 0.85
     tree_columns: float = 0.85
@@ -72,18 +76,26 @@ def fit_vectorizer(train: DataFrame, cfg: ModelConfig) -> Vectorizer:
 def vectorize(df: DataFrame, vec: Vectorizer) -> DataFrame:
     """Add ``tab`` (30 scaled), ``tfidf`` (sparse) and ``hybrid`` = [tfidf | tab].
 
-    ``url`` is the unique key. The n-gram weights and the table are both hashed by
-    it, so bringing them together never meets a skewed key.
+    ``url`` is the key; rows of one url fold to one. Its other columns are carried through
+    the regrouping of the n-grams, and the features depend on the url alone, so one hash
+    exchange is all.
     """
-    own = df.columns
-    tab = scale(extract_features(df, meta=None), vec.stats)
-    tab = tab.select(*own, array_to_vector(F.array(*FEATURE_NAMES)).alias("tab"))
-    terms = weighted_terms(df, "url", "url", vec.vocab, vec.size)
-    terms = terms.select(
-        "url", sparse_vector(F.col("indices"), F.col("values"), vec.size).alias("tfidf")
-    )
-    both = tab.join(terms.hint("shuffle_merge"), "url")
-    return VectorAssembler(inputCols=["tfidf", "tab"], outputCol="hybrid").transform(both)
+    rest = tuple(c for c in df.columns if c != "url")
+    terms = weighted_terms(df, "url", "url", vec.vocab, vec.size, rest)
+    terms = terms.select("url", *rest, sparse_vector(F.col("indices"), F.col("values"), vec.size).alias("tfidf"))
+    return VectorAssembler(inputCols=["tfidf", "tab"], outputCol="hybrid").transform(with_tab(terms, vec.stats))
+
+
+def with_tab(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
+    """Add ``tab``, the 30 scaled features."""
+    scaled = scale(extract_features(df, meta=None), stats)
+    return scaled.select(*df.columns, array_to_vector(F.array(*FEATURE_NAMES)).alias("tab"))
+
+
+def tabular_table(df: DataFrame) -> DataFrame:
+    """(url, label, split, tab) of the models that need no n-grams, scaled by the train rows."""
+    stats = fit_scaler(extract_features(df.filter(F.col("split") == "train").select("url"), meta=None))
+    return materialize(with_tab(df.withColumn("label", F.col("label").cast("double")), stats), "tabular")
 
 
 def linear_classifier(cfg: ModelConfig) -> LogisticRegression:
@@ -116,6 +128,14 @@ def hybrid_classifier(cfg: ModelConfig) -> GBTClassifier:
     )
 
 
+def at_most(df: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows by url hash, the same share of every label; all if there are no more."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(rows / n * 1_000_000))
+
+
 def add_score(df: DataFrame, model, out: str) -> DataFrame:
     """Probability of the malicious class."""
     own = df.columns
@@ -168,7 +188,7 @@ def fit_models(df: DataFrame, cfg: ModelConfig) -> tuple[Models, DataFrame]:
         linear_classifier(cfg).fit(train.select("label", "tfidf")),
         fit_neural(table.select("label", "split", "tab"), cfg),
         tree_classifier(cfg).fit(train.select("label", "tab")),
-        hybrid_classifier(cfg).fit(train.select("label", "hybrid")),
+        hybrid_classifier(cfg).fit(at_most(train, cfg.hybrid_rows).select("label", "hybrid")),
     )
     return models, table
 
@@ -185,6 +205,21 @@ def score(df: DataFrame, models: Models) -> DataFrame:
     return score_vectors(vectorize(df, models.vec), models)
 
 
+def scheme_effect(df: DataFrame, label: str, models: Models, p: str = "p_serving") -> DataFrame:
+    """``(variant, label, n, mean_p)``: mean score of the urls as they are and behind ``https://``.
+
+    The scheme says nothing of a site, so a gap between the two is what a model has learnt
+    from the form of its corpora.
+    """
+    both = df.select(
+        F.col(label), F.explode(F.array(
+            F.struct(F.lit("bare").alias("variant"), F.col("url")),
+            F.struct(F.lit("https").alias("variant"), F.concat(F.lit("https://"), F.col("url")).alias("url")),
+        )).alias("_v"),
+    ).select(label, "_v.variant", "_v.url")
+    return score(both, models).groupBy("variant", label).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"))
+
+
 def importances(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
     """Feature importance in percent, 2 decimals."""
     values = model.featureImportances.toArray()

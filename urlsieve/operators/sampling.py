@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlsieve.session import materialize
+
 PREFIX_DIGITS = 4
 
 
@@ -26,23 +28,24 @@ def prefix_histogram(df: DataFrame, strata: list[str]) -> DataFrame:
 def hash_cutoffs(df: DataFrame, histogram: DataFrame, quotas: DataFrame, strata: list[str]) -> DataFrame:
     """(strata, _cut): the ``_k``-th smallest hash of each stratum.
 
-    ``quotas(strata, _k)`` has one row per stratum. Only the rows that share the
-    prefix in which the k-th one falls are ranked.
+    ``quotas(strata, _k)`` has a few rows per stratum, each of which gets its cut. Only
+    the rows that share the prefix in which the k-th one falls are ranked, about 1 in
+    65,536 of a stratum.
     """
     running = Window.partitionBy(*strata).orderBy("_prefix")
     cell = (
         histogram.withColumn("_cum", F.sum("_n").over(running))
-        .join(F.broadcast(quotas), strata)
+        .join(quotas, strata)
         .filter((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_n") < F.col("_k")))
-        .select(*strata, "_prefix", (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_need"))
+        .select(*strata, "_k", "_prefix", (F.col("_k") - F.col("_cum") + F.col("_n")).alias("_need"))
     )
-    ranked = Window.partitionBy(*strata, "_prefix").orderBy("_h")
+    ranked = Window.partitionBy(*strata, "_k", "_prefix").orderBy("_h")
     return (
         df.select(*strata, "_h", F.substring("_h", 1, PREFIX_DIGITS).alias("_prefix"))
-        .join(F.broadcast(cell), [*strata, "_prefix"])
+        .join(cell, [*strata, "_prefix"])
         .withColumn("_rank", F.row_number().over(ranked))
         .filter(F.col("_rank") == F.col("_need"))
-        .select(*strata, F.col("_h").alias("_cut"))
+        .select(*strata, "_k", F.col("_h").alias("_cut"))
     )
 
 
@@ -52,7 +55,8 @@ def stratified_sample(df: DataFrame, n: int, label: str = "label", key: str = "u
     ``key`` must be unique, as ``url`` is in the master table; ``label`` has a handful
     of values, which bounds the broadcast tables.
     """
-    hashed = df.withColumn("_h", row_hash(seed, key))
+    # the keyed hashes are written once: counted, ranked and joined back from the copy
+    hashed = materialize(df.withColumn("_h", row_hash(seed, key)), "sample")
     histogram = prefix_histogram(hashed, [label])
     sizes = histogram.groupBy(label).agg(F.sum("_n").alias("_rows"))
     total = F.sum("_rows").over(Window.partitionBy())
@@ -60,20 +64,20 @@ def stratified_sample(df: DataFrame, n: int, label: str = "label", key: str = "u
     quotas = sizes.select(label, F.when(total <= n, F.col("_rows")).otherwise(quota).alias("_k"))
     cuts = hash_cutoffs(hashed, histogram, quotas, [label])
     return (
-        hashed.join(F.broadcast(cuts), label)
+        hashed.join(cuts, label)
         .filter(F.col("_h") <= F.col("_cut"))
         .select(*df.columns)
     )
 
 
-def kth_hash(df: DataFrame, hash_col: Column, k: int) -> str | None:
-    """The k-th smallest hash of a table of distinct hashes (None for k = 0)."""
-    if k <= 0:
-        return None
-    hashed = df.select(F.lit(0).alias("_all"), hash_col.alias("_h"))
-    quotas = df.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(k).alias("_k"))
-    row = hash_cutoffs(hashed, prefix_histogram(hashed, ["_all"]), quotas, ["_all"]).first()
-    return row["_cut"] if row else None
+def kth_hashes(hashes: DataFrame, ks: list[int]) -> list[str | None]:
+    """The k-th smallest of the distinct hashes ``_h`` for every k, in one job (None for k = 0)."""
+    hashed = hashes.select(F.lit(0).alias("_all"), "_h")
+    wanted = F.explode(F.array(*[F.lit(k) for k in sorted(set(ks))])).alias("_k")
+    quotas = hashes.sparkSession.range(1).select(F.lit(0).alias("_all"), wanted).filter("_k > 0")
+    cuts = hash_cutoffs(hashed, prefix_histogram(hashed, ["_all"]), quotas, ["_all"])
+    found = {r["_k"]: r["_cut"] for r in cuts.collect()}
+    return [found.get(k) for k in ks]
 
 
 def seeded_order(df: DataFrame, key: str = "url", seed=42) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from urlsieve.constants import BARE_DOMAIN_FRACTION
 from urlsieve.functions.basic import md5_bucket
 from urlsieve.functions.urls import has_path
-from urlsieve.operators.sampling import kth_hash, row_hash
+from urlsieve.operators.sampling import kth_hashes, row_hash
+from urlsieve.session import materialize
 
 
 def group_split(df: DataFrame, group: str = "group", test: int = 15, val: int = 15, seed=42) -> DataFrame:
@@ -29,15 +30,14 @@ def group_split_exact(
     """As :func:`group_split` with exact group counts.
 
     ceil(test * groups) groups go to test, then ceil(val / (1 - test) * rest) to val.
-    Only two cut hashes reach the driver; rows are split by comparing with them.
+    The hashes of the distinct groups are written once; only two cuts reach the driver.
     """
     hashed = row_hash(seed, group)
-    groups = df.select(group).distinct()
+    groups = materialize(df.select(group).distinct().select(hashed.alias("_h")), "groups")
     n = groups.count()
     n_test = math.ceil(test * n)
     n_val = math.ceil(val / (1 - test) * (n - n_test))
-    cut_test = kth_hash(groups, hashed, n_test)
-    cut_val = kth_hash(groups, hashed, min(n, n_test + n_val))
+    cut_test, cut_val = kth_hashes(groups, [n_test, min(n, n_test + n_val)])
     split = F.lit("train")
     if cut_val is not None:
         split = F.when(hashed <= cut_val, "val").otherwise(split)

@@ -16,7 +16,7 @@ from urlsieve.functions.basic import CHAR_START, as_col
 
 GRAM_SIZES = (3, 4, 5)
 VOCABULARY_SIZE = 20_000
-BROADCAST_TERMS = 1_000_000
+MAX_TERMS = 1_000_000
 
 # The same white space as WHITESPACE, as a character class.
 _BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -87,24 +87,27 @@ def vocabulary(df: DataFrame, text: str = "url", k: int = VOCABULARY_SIZE) -> Da
     return top.select("gram", order.alias("idx"), "cf", "df", idf.alias("idf"))
 
 
-def weighted_terms(df: DataFrame, key: str, text: str, vocab: DataFrame, k: int = VOCABULARY_SIZE) -> DataFrame:
+def weighted_terms(
+    df: DataFrame, key: str, text: str, vocab: DataFrame, k: int = VOCABULARY_SIZE, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per key: sorted ``indices`` and L2-normalised ``values``.
 
-    Weight (1 + ln tf) * idf. Rows are hashed by key *before* they are exploded; the
-    broadcast join keeps that partitioning, so regrouping needs no second shuffle. The
-    vocabulary has at most k rows; beyond BROADCAST_TERMS the hint is left out and the
-    join shuffles. A key without known grams keeps its row.
+    Weight (1 + ln tf) * idf. Rows are hashed by key *before* they are exploded, rows of
+    one key fold to one there, and a broadcast join keeps that partitioning, so regrouping
+    needs no second shuffle. The vocabulary has k rows of at most 40 bytes (a gram has up to
+    five characters) and k is at most MAX_TERMS. A key without known grams keeps its row.
+    ``carry`` columns follow the key.
     """
+    if k > MAX_TERMS:
+        raise ValueError(f"a vocabulary of {k} grams is too large to broadcast")
     # A given number of partitions: left to itself the engine would merge them by the
     # bytes of the unexploded rows.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = df.select(key, F.col(text).alias("_text")).repartition(parts, key)
+    texts = df.select(key, F.col(text).alias("_text"), *carry).repartition(parts, key).dropDuplicates([key])
     counted = with_term_counts(texts, "_text")
-    terms = counted.select(key, F.posexplode_outer("terms").alias("_pos", "_term"))
+    terms = counted.select(key, *carry, F.posexplode_outer("terms").alias("_pos", "_term"))
     side = vocab.select("gram", "idx", "idf")
-    joined = terms.withColumn("gram", F.col("_term.gram")).join(
-        F.broadcast(side) if k <= BROADCAST_TERMS else side, "gram", "left"
-    )
+    joined = terms.withColumn("gram", F.col("_term.gram")).join(F.broadcast(side), "gram", "left")
     weight = (1 + F.ln(F.col("_term.tf"))) * F.col("idf")
     known = F.when(F.col("idx").isNotNull(), F.struct("idx", weight.alias("w")))
     # The norm is aggregated here and not folded from the array afterwards: as a
@@ -115,10 +118,12 @@ def weighted_terms(df: DataFrame, key: str, text: str, vocab: DataFrame, k: int
         .agg(
             F.sort_array(F.collect_list(known)).alias("_t"),
             F.sum(F.when(F.col("idx").isNotNull(), weight * weight)).alias("_sq"),
+            *[F.first(c).alias(c) for c in carry],
         )
     )
     return grouped.select(
         key,
+        *carry,
         F.col("_t.idx").alias("indices"),
         F.transform("_t.w", lambda w: w / F.sqrt("_sq")).alias("values"),
     )

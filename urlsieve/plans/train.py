@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from urlsieve.constants import (
     NORMALIZATION_VERSION, SMOKE_URLS,
 )
 from urlsieve.functions.urls import normalize_url
+from urlsieve.operators.consolidate import harmonize_rows
 from urlsieve.operators.evaluate import (
     eval_table, evaluate, mean_score_by_class, metrics_long, tune_threshold, verdict,
 )
@@ -23,7 +25,8 @@ from urlsieve.operators.split import (
     augment_bare_domains, group_split, group_split_exact, split_counts, split_leakage,
 )
 from urlsieve.session import materialize
-from urlsieve.sources.master import write_json
+from urlsieve.sources.corpora import SourceSpec, path_exists, read_corpora
+from urlsieve.sources.master import MANIFEST, read_master, write_json
 
 MODEL_SCORES = {
     "nlp": "p_nlp", "nn": "p_nn", "tree": "p_tree", "hybrid": "p_hyb",
@@ -56,6 +59,13 @@ def smoke_verdicts(scores: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def training_rows(spark: SparkSession, master: str | None, specs: Sequence[SourceSpec] = ()) -> DataFrame:
+    """url, label, group of the written master, or of the raw corpora where there is none."""
+    if master and path_exists(spark, f"{master}/{MANIFEST}"):
+        return read_master(spark, master)
+    return harmonize_rows(read_corpora(spark, specs)[0])
+
+
 def _records(df: DataFrame, key: str) -> dict:
     """A report table of a few rows as a dict."""
     return {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.collect()}
@@ -83,11 +93,15 @@ def train(
         for name in ("champion", "serving")
     }
     cuts = {n: (c, tuned.get(n, DEFAULT_THRESHOLD)) for n, c in MODEL_SCORES.items()}
+    validation = materialize(eval_table(val, "label", cuts), "validation")
     table = materialize(eval_table(test, "label", cuts), "evaluation")
     smoke = materialize(smoke_scores(spark, models), "smoke")
     smoke_metrics = evaluate(smoke, "label", "p_serving", tuned["serving"]).first().asDict()
     weights = importances(spark, models.tree)
+    now = time.strftime("%Y-%m-%d %H:%M:%S")
     report = {
+        "updated_at": now,
+        "validation": _records(validation, "model"),
         "test_set_size": test.count(),
         "split_strategy": "registered domain, no host shared across splits",
         "url_normalization": NORMALIZATION_VERSION,
@@ -117,6 +131,9 @@ def train(
     write_json(
         spark,
         {
+            "created_at": now,
+            "artifacts": [f"models/{n}" for n in ("nlp", "nn", "tree", "hyb", "vocabulary", "scaler", "config")]
+            + ["test_evaluation_report", "threshold_config", "evaluation_metrics", "smoke_verdicts"],
             "url_normalization": NORMALIZATION_VERSION,
             "split_strategy": "group-by-registered-domain",
             "bare_domain_augment_fraction": BARE_DOMAIN_FRACTION,
@@ -129,5 +146,9 @@ def train(
         f"{out}/run_manifest",
     )
     smoke_verdicts(smoke, tuned["serving"]).write.mode("overwrite").parquet(f"{out}/smoke_verdicts")
-    table.write.mode("overwrite").json(f"{out}/evaluation_metrics")
+    write_json(
+        spark,
+        {k: report[k] for k in ("updated_at", "models", "validation", "out_of_corpus_smoke", "feature_importances")},
+        f"{out}/evaluation_metrics",
+    )
     return report

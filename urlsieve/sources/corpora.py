@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsieve.constants import CSV_NULLS
-from urlsieve.functions.basic import count_text
 from urlsieve.functions.labels import label_a, label_b, label_c
 
 
+# Whole fields, quoted or not, then a quote that no other one on the line closes.
+OPEN_QUOTE = r'^\x{FEFF}?((\"([^\"]|\"\")*\"|[^\",][^,]*)?,)*\"([^\"]|\"\")*$'
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """Where a corpus lies and how its label reads.
@@ -49,12 +52,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def has_quoted_line_breaks(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
-    """True when some physical line holds an odd number of quotes.
+    """True when some line ends inside a quoted field.
 
-    Without such a line no record spans two lines, and the file can be read in splits.
+    Without such a line no record spans two lines, and the file can be read in splits. A
+    quote inside an unquoted field ties nothing together. Only the first such line is
+    looked for.
     """
     lines = spark.read.option("encoding", encoding).text(path)
-    return not lines.filter(count_text(F.col("value"), '"') % 2 == 1).isEmpty()
+    return not lines.filter(F.col("value").rlike(OPEN_QUOTE)).isEmpty()
 
 
 def read_corpus(spark: SparkSession, spec: SourceSpec) -> DataFrame | None:

@@ -14,6 +14,12 @@ from urlsieve.sources.corpora import path_exists
 PARQUET, CSV, MANIFEST = "master.parquet", "master.csv", "manifest.json"
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or folder, by the file system it lies in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def write_json(spark: SparkSession, value: dict, path: str) -> None:
     """A small report as one JSON text file, through Spark's file system."""
     text = json.dumps(value, indent=2)
@@ -51,7 +57,8 @@ def read_master(
     if path_exists(spark, f"{root}/{PARQUET}"):
         table = spark.read.parquet(f"{root}/{PARQUET}")
     else:
-        reader = spark.read.option("header", True).option("escape", '"')
+        # a url may hold a line break, so records cannot be told from lines
+        reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
         table = reader.csv(f"{root}/{CSV}")
     check_version(spark, root, expect_version)
     return table.select("url", F.col("label").cast("int").alias("label"), "group").dropna()
