@@ -6,13 +6,12 @@ Edges are runs of ``k`` words. Only edges that can repeat become rows:
    have equal anchors, so an edge whose anchor occurs once is unique. Anchors are a seventh
    of the positions; they are counted with a map-side combine and joined back. Documents with
    the same words are one document here: only the first stays in the graph.
-2. Edges at repeated anchors become rows ``(edge, check, document, start)``, grouped by both
-   64-bit hashes to their first occurrence and their count, and joined back to every
-   occurrence: each gets its *source coordinate*.
+2. Edges at repeated anchors become rows ``(edge, check, place)``. Their first place, the
+   *source coordinate*, and their count are joined back to every occurrence. ``check`` is a
+   second, independent hash: 96 bits have to agree at both coordinates.
 3. Paths: successive edges of a document with the same count and successive source
-   coordinates form a nonbranching run. A run is one row ``(document, start, edges, source
-   document, source start, copies)``. ``verify`` compares a second hash of the
-   run's words at both coordinates; ``check`` has done so for each single edge.
+   coordinates form a nonbranching run, which compacts to one row ``(place, edges, source,
+   copies)``.
 
 Removal takes every word that an edge covers whose source is not itself.
 
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlsieve.llm.store import parts, staged, table
+from urlsieve.llm.store import drop_staged, parts, positioned, staged, table
 from urlsieve.llm.text import spans, utf8, window_hashes, word_hashes
 
 ANCHOR = 8
@@ -119,101 +118,119 @@ def edges(rows: DataFrame, k: int) -> DataFrame:
             s, e, first = spans(data, offs)
             hashes = word_hashes(data, s, e)
             starts, at, runs = edge_anchors(hashes, first, k)
-            lists = batch.column("repeated")
-            wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            keep = np.isin(runs[at], np.unique(wanted))
-            starts = starts[keep]
+            wanted = batch.column("repeated").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = starts[np.isin(runs[at], np.unique(wanted))]
             owner = np.searchsorted(first, starts, "right") - 1
-            yield table(["edge", "check", "id", "t", "start"], [
+            yield table(["edge", "check", "base", "start"], [
                 pa.array(window_hashes(hashes, k, 3)[starts].view(np.int64)),
-                pa.array(window_hashes(word_hashes(data, s, e, 7), k, 4)[starts].view(np.int64)),
-                batch.column("id").take(pa.array(owner)), batch.column("t").take(pa.array(owner)),
+                pa.array((window_hashes(hashes_again(data, s, e), k, 4)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                batch.column("base").take(pa.array(owner)),
                 pa.array((starts - first[owner]).astype(np.int32)),
             ])
 
-    return rows.mapInArrow(run, "edge long, check long, id long, t long, start int")
+    return rows.mapInArrow(run, "edge long, check int, base long, start int")
+
+
+def hashes_again(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Word hashes that are independent of the first ones."""
+    return word_hashes(data, starts, ends, 7)
 
 
 def repeated_paths(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Nonbranching paths of repeated edges at every place where they occur.
 
-    Returns ``(id, t, start, edges, source_id, source_t, source_start, copies, is_source)``
-    and the table of documents ``(id, t, n_words, stays)``; a document with ``stays`` false
-    has the words of an earlier one.
+    Returns ``(base, start, edges, source, copies, is_source)`` and the documents
+    ``(id, t, stays, base)``. ``base`` is the number of words in all documents before, so
+    that ``base + start`` is a place in the corpus, as ``source`` is. A document with
+    ``stays`` false has the words of an earlier one; it has no base.
     """
     rows = docs.select(*keyed(id_col, text_col))
-    seen = staged(anchors(rows, k), "debruijn-anchors")
+    seen = staged(anchors(rows, k).dropDuplicates(KEY), "debruijn-anchors")
     first_of = seen.groupBy("words", "n_words").agg(F.min(F.struct(*KEY)).alias("first"))
-    listed = seen.join(first_of, ["words", "n_words"]).withColumn("stays", F.struct(*KEY) == F.col("first"))
-    listed = staged(listed.drop("words", "first").dropDuplicates(KEY), "debruijn-listed")
-    spread = listed.filter("stays").select(*KEY, F.explode("anchor").alias("anchor"))
-    common = spread.groupBy("anchor").count().filter("count > 1").select("anchor")
-    where = spread.join(common, "anchor").groupBy(*KEY).agg(F.collect_list("anchor").alias("repeated"))
-    texts = rows.join(staged(where, "debruijn-where"), KEY)
-    found = staged(edges(texts, k), "debruijn-edges")
-    place = F.struct(*KEY, "start")
+    listed = seen.select(*KEY, "words", "n_words").join(first_of, ["words", "n_words"])
+    listed = staged(listed.select(*KEY, "n_words", (F.struct(*KEY) == F.col("first")).alias("stays")), "debruijn-listed")
+    bases = staged(positioned(listed.filter("stays").select(*KEY, "n_words"), KEY, "n_words", "base").select(*KEY, "base"), "debruijn-bases")
+    spread = staged(seen.select(*KEY, "anchor").join(bases, KEY).select("base", F.explode("anchor").alias("anchor")), "debruijn-spread")
+    drop_staged(seen)
+    common = staged(spread.groupBy("anchor").count().filter("count > 1").select("anchor"), "debruijn-common")
+    where = staged(spread.join(common, "anchor").groupBy("base").agg(F.collect_list("anchor").alias("repeated")), "debruijn-where")
+    drop_staged(spread, common)
+    wanted = bases.join(where, "base")
+    found = staged(edges(rows.join(wanted, KEY), k), "debruijn-edges")
+    drop_staged(where)
+    place = F.col("base") + F.col("start")
     sources = found.groupBy("edge", "check").agg(F.min(place).alias("source"), F.count("*").alias("copies")).filter("copies > 1")
-    met = found.join(sources, ["edge", "check"]).select(*KEY, "start", "source", "copies")
-    order = Window.partitionBy(*KEY).orderBy("start")
+    sources = staged(sources, "debruijn-sources")
+    met = staged(found.join(sources, ["edge", "check"]).select("base", "start", "source", "copies"), "debruijn-met")
+    drop_staged(found, sources)
+    order = Window.partitionBy("base").orderBy("start")
     joins = (
         (F.col("start") == F.lag("start").over(order) + 1)
         & (F.col("copies") == F.lag("copies").over(order))
-        & (F.col("source.id") == F.lag("source.id").over(order))
-        & (F.col("source.t") == F.lag("source.t").over(order))
-        & (F.col("source.start") == F.lag("source.start").over(order) + 1)
+        & (F.col("source") == F.lag("source").over(order) + 1)
     )
     runs = met.withColumn("head", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("head").over(order))
-    paths = runs.groupBy(*KEY, "run").agg(
+    paths = runs.groupBy("base", "run").agg(
         F.min("start").alias("start"), F.count("*").cast("int").alias("edges"), F.min("source").alias("source"), F.first("copies").alias("copies")
     )
-    paths = paths.select(
-        *KEY, "start", "edges", F.col("source.id").alias("source_id"), F.col("source.t").alias("source_t"),
-        F.col("source.start").alias("source_start"), "copies",
-        ((F.col("source.id") == F.col("id")) & (F.col("source.t") == F.col("t")) & (F.col("source.start") == F.col("start"))).alias("is_source"),
-    )
-    return staged(paths, "debruijn-paths"), listed
+    paths = staged(paths.select("base", "start", "edges", "source", "copies", (place == F.col("source")).alias("is_source")), "debruijn-paths")
+    drop_staged(met)
+    return paths, listed.join(bases, KEY, "left").select(*KEY, "stays", "base")
 
 
 def drop_repeats(
-    docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), digest: bool = False
+    docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), output: str = "words"
 ) -> DataFrame:
-    """Every row with the words that stay: ``(doc_id, n_words, n_removed, kept)``.
+    """Every row with the words that stay: id, ``carry``, ``n_words``, ``n_removed`` and the output column.
 
-    ``kept`` joins the words that stay by one space; with ``digest`` it is its sha256
-    (``kept_sha256``). ``carry`` names further columns of ``docs`` to return unchanged.
+    ``output`` is ``words`` (column ``kept``: the words joined by one space), ``digest``
+    (``kept_sha256``: sha256 of that) or ``text`` (``text``: the text itself where nothing
+    goes, otherwise its runs of kept words as they stood, joined by one space). ``carry``
+    names further columns of ``docs`` to return unchanged.
     """
     paths, listed = repeated_paths(docs, k, id_col, text_col)
-    gone = paths.filter("not is_source").groupBy(*KEY).agg(F.collect_list(F.struct("start", "edges")).alias("gone"))
+    gone = paths.filter("not is_source").groupBy("base").agg(F.collect_list(F.struct("start", "edges")).alias("gone"))
+    state = staged(listed.join(gone, "base", "left").drop("base"), "debruijn-state")
     also = [F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col(id_col).alias("__id"), *also, *keyed(id_col, text_col))
-    state = listed.select(*KEY, "stays").join(gone, KEY, "left")
-    joined = rows.join(state, KEY)
+    joined = docs.select(F.col(id_col).alias("__id"), *also, *keyed(id_col, text_col)).join(state, KEY)
     named = [f"__carry_{i}" for i in range(len(carry))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select("__id", *named).schema)
-    last = "kept_sha256" if digest else "kept"
+    last = {"words": "kept", "digest": "kept_sha256", "text": "text"}[output]
+
+    def staying(n: int, stays: bool, gone_: list | None) -> np.ndarray:
+        """Which of a text's words stay."""
+        if n < k:  # such a text has no edge; one without words shares its successor's base
+            return np.ones(n, bool)
+        if not stays:
+            return np.zeros(n, bool)
+        change = np.zeros(n + 1, np.int32)
+        for g in gone_ or ():
+            change[g["start"]] += 1
+            change[g["start"] + g["edges"] - 1 + k] -= 1
+        return np.cumsum(change[:-1]) == 0
+
+    def kept_text(text: str | None, stay: np.ndarray) -> str | None:
+        if stay.all():
+            return text
+        raw = text.encode()
+        s, e, _ = spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        change = np.flatnonzero(np.diff(np.concatenate([[False], stay, [False]]).astype(np.int8)))
+        return b" ".join(raw[s[a] : e[b - 1]] for a, b in zip(change[::2], change[1::2], strict=True)).decode()
 
     def run(source):
         for batch in parts(source, "text"):
             counts, removed, kept = [], [], []
             texts, stays, gones = (batch.column(c).to_pylist() for c in ("text", "stays", "gone"))
-            for text, stay, gone_ in zip(texts, stays, gones, strict=True):
+            for text, first, gone_ in zip(texts, stays, gones, strict=True):
                 words = (text or "").encode().split()
-                n = len(words)
-                if not stay and n >= k:
-                    left = []
-                elif gone_:
-                    edge = np.zeros(n + 1, np.int32)
-                    for g in gone_:
-                        edge[g["start"]] += 1
-                        edge[g["start"] + g["edges"] - 1 + k] -= 1
-                    stay_at = np.cumsum(edge[:-1]) == 0
-                    left = [w for w, s in zip(words, stay_at.tolist(), strict=True) if s]
-                else:
-                    left = words
-                counts.append(n)
-                removed.append(n - len(left))
-                whole = b" ".join(left)
-                kept.append(hashlib.sha256(whole).hexdigest() if digest else whole.decode())
+                stay = staying(len(words), first, gone_)
+                counts.append(len(words))
+                removed.append(len(words) - int(stay.sum()))
+                if output == "text":
+                    kept.append(kept_text(text, stay))
+                    continue
+                whole = b" ".join(words if not removed[-1] else [w for w, s in zip(words, stay.tolist(), strict=True) if s])
+                kept.append(hashlib.sha256(whole).hexdigest() if output == "digest" else whole.decode())
             yield table(["__id", *named, "n_words", "n_removed", last], [
                 batch.column("__id"), *(batch.column(c) for c in named),
                 pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()),

@@ -15,11 +15,12 @@ from urlsieve.llm.outliers import STATS, judge
 from urlsieve.llm.piece_bpe import encode_pieces
 from urlsieve.llm.ring import shard_documents
 from urlsieve.llm.simhash import simhash_components
-from urlsieve.llm.store import fold_of, scratch
+from urlsieve.llm.store import fold_of, reachable, scratch
 from urlsieve.llm.toxicity import fit, score
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -56,7 +57,7 @@ def op6_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(documents(spark, sf_dir), digest=True)
+    return drop_repeats(documents(spark, sf_dir), output="digest")
 
 
 def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from contextlib import contextmanager
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urlsieve.session import materialize, scratch_path
@@ -34,12 +38,44 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove the files behind a ``staged`` table that no later plan reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove the files behind ``staged`` tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def positioned(df: DataFrame, order: list[str], size: str, out: str) -> DataFrame:
+    """``df`` with the sum of ``size`` (long) over all rows before each one in ``order``, as ``out``.
+
+    Range partitions keep running sums; one sum per partition joins them. ``df`` is read
+    twice, so let it be a written table.
+    """
+
+    def run(source):
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in source:
+            sizes = batch.column(size).to_numpy(zero_copy_only=False)
+            before = np.cumsum(sizes) - sizes + total
+            total += int(sizes.sum())
+            yield table([*batch.schema.names, "__at", "__part"], [*batch.columns, pa.array(before, pa.int64()), pa.array([part] * len(sizes), pa.int32())])
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    rows = staged(ranged.mapInArrow(run, f"{schema}, __at long, __part int"), "positioned")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("__part").agg(F.sum(size).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return rows.join(bases, "__part").withColumn(out, F.col("__at") + F.col("__base")).drop("__at", "__base", "__part")
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, env.get("PYTHONPATH", "")) if p)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
