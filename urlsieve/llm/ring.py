@@ -36,7 +36,8 @@ def ring(spark, shards: int, vnodes: int) -> DataFrame:
         spark.range(shards * vnodes)
         .select(
             (F.col("id") % shards).cast("int").alias("shard"),
-            F.pmod(F.xxhash64(F.lit("node"), F.col("id")), F.lit(CELLS)).cast("int").alias("at"),
+            # a node's place depends on its own shard and number alone
+            F.pmod(F.xxhash64(F.lit("node"), F.col("id") % shards, F.floor(F.col("id") / shards)), F.lit(CELLS)).cast("int").alias("at"),
         )
         .groupBy("at")
         .agg(F.min("shard").alias("shard"))
@@ -69,8 +70,8 @@ def ring(spark, shards: int, vnodes: int) -> DataFrame:
 def assign_units(units: DataFrame, bound: int, shards: int, vnodes: int) -> DataFrame:
     """Units ``(cell, piece, cell_load, load, n)`` with the shard that takes each.
 
-    A shard's load stays at or below ``bound``; a unit larger than every gap that is left
-    goes to its home shard.
+    A shard's load stays at or below ``bound``. Units that found no gap on a whole turn, a
+    few large ones of a small table, go to the shards with most room, largest first.
     """
     first = Window.partitionBy("shard").orderBy(F.col("cell_load").desc(), "cell", "piece")
     pending = staged(units.join(F.broadcast(ring(units.sparkSession, shards, vnodes)), "cell"), "ring-units")
@@ -87,7 +88,13 @@ def assign_units(units: DataFrame, bound: int, shards: int, vnodes: int) -> Data
         pending = judged.filter("not fits").drop("shard", "fits")
         if pending.isEmpty():
             return taken
-    return taken.unionByName(pending.withColumn("shard", F.col("route")[0]))
+    used = taken.groupBy("shard").agg(F.sum("load").alias("used"))
+    every = pending.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    room = every.join(F.broadcast(used), "shard", "left").select(
+        "shard", (F.row_number().over(Window.orderBy(F.coalesce("used", F.lit(0)), "shard")) - 1).alias("nth")
+    )
+    order = (F.row_number().over(Window.orderBy(F.col("load").desc(), "cell", "piece")) - 1) % shards
+    return taken.unionByName(pending.withColumn("nth", order).join(F.broadcast(room), "nth").drop("nth"))
 
 
 def shard_documents(
