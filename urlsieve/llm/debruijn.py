@@ -190,7 +190,10 @@ def drop_repeats(
     """
     paths, listed = repeated_paths(docs, k, id_col, text_col)
     gone = paths.filter("not is_source").groupBy("base").agg(F.collect_list(F.struct("start", "edges")).alias("gone"))
-    state = staged(listed.join(gone, "base", "left").drop("base"), "debruijn-state")
+    # documents without a base (copies) stay out of that join: they would all meet at null
+    first = listed.filter("stays").join(gone, "base", "left")
+    copies = listed.filter("not stays").withColumn("gone", F.lit(None).cast(first.schema["gone"].dataType))
+    state = staged(first.unionByName(copies).drop("base"), "debruijn-state")
     also = [F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)]
     joined = docs.select(F.col(id_col).alias("__id"), *also, *keyed(id_col, text_col)).join(state, KEY)
     named = [f"__carry_{i}" for i in range(len(carry))]
