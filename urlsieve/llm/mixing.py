@@ -33,6 +33,7 @@ from urlsieve.llm.text import spans, utf8
 
 WEIGHTS = (3, 1, 2)
 SLOTS = 1 << 16
+NO_ID = -(2**63)
 
 
 def targets(sizes: dict[str, int], share: float, passes: int, weights: tuple[int, ...] = WEIGHTS) -> dict[str, float]:
@@ -218,15 +219,15 @@ def mixed_documents(docs: DataFrame, block: int = 128, id_col: str = "doc_id", t
         pieces(placed, drawn, block)
         .groupBy("doc_id", "t", "skey", "offset", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__cuts"))
-        .select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("skey").alias("__skey"), F.col("offset").alias("__offset"), "__cuts")
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("t").alias("__t"), F.col("skey").alias("__skey"), "__cuts")
     )
     source = F.col(source_col).cast("string")
-    keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn(
+    # one key without nulls for both steps, so that texts are shuffled once
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(
         "__t", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     ).withColumn("__skey", F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)))
-    unique = keyed.dropDuplicates(["__id", "__t", "__skey"])
-    match = F.col("l.__id").eqNullSafe(F.col("r.__id")) & (F.col("l.__t") == F.col("r.__t")) & (F.col("l.__skey") == F.col("r.__skey"))
-    joined = unique.alias("l").join(cuts.alias("r"), match).select("l.*", "r.__cuts").drop("__id", "__t", "__skey")
+    key = ["__id", "__t", "__skey"]
+    joined = keyed.dropDuplicates(key).join(cuts, key).drop(*key)
     names = docs.columns
 
     def cut(source):
