@@ -4,7 +4,8 @@ Learning. A unit is a lower-cased token (a run of letters, digits and non-ASCII
 of its byte prefixes, so that forms of a stem share evidence. Units are counted by document
 over the distinct labelled texts of the fitting folds. A unit is a candidate if its counts
 differ from the base rate by a binomial likelihood ratio that stands a Bonferroni correction
-over all units. As near copies repeat whole neighbourhoods, candidates are tested again by
+over all units and its log-odds reach ``odds_least``: in many texts the smallest slant is certain
+but tells nothing. As near copies repeat whole neighbourhoods, candidates are tested again by
 their distinct contexts (token before, token after). Log-odds have an informative Dirichlet
 prior, proportional to the unit's rate in all texts; the lexicon holds the ``lexicon`` most
 certain units at most (a parameter, it bounds what is broadcast).
@@ -194,22 +195,27 @@ def contexts(rows: DataFrame, units: np.ndarray) -> DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, folds: tuple[int, int] = (4, 2), prior: float = 0.05, level: float = 1.0,
-    lexicon: int = 20_000, cost: float = 0.1, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    odds_least: float = 1.5, lexicon: int = 20_000, cost: float = 0.1, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Model:
     """Lexicon, extreme-value parameters and curve from the labelled rows outside the held-out fold.
 
     ``folds`` is (number, held-out one) of crc32 of the id; the fold after the held-out one
     fits the curve, the others the lexicon. ``prior`` is the prior's weight as a share of
-    the fitting texts, ``level`` the expected number of false units.
+    the fitting texts, ``level`` the expected number of false units, ``odds_least`` the
+    least log-odds of a unit.
     """
     number, held = folds
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    fold = fold_of("id", number)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.join(known.filter(fold != held), "id").withColumn("curve", fold_of("id", number) == (held + 1) % number)
-    # copies of a text count once
-    rows = staged(rows.groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"), "curve").agg(
-        F.max("toxic").alias("toxic"), F.min("text").alias("text")).drop("h", "size"), "toxic-rows")
+    used = fold_of("id", number) != held
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(used)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # copies of a text count once: the first id of each text and fold stands for it. Texts are
+    # shuffled once, to their labels, and always: which join is cheaper must not hang on the size
+    curve = (fold_of("id", number) == (held + 1) % number).alias("curve")
+    marks = rows.select("id", "h", F.octet_length("text").alias("size")).join(known.filter(used).hint("merge"), "id")
+    first = marks.groupBy("h", "size", curve).agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"))
+    rows = rows.join(first.drop("size").hint("merge"), ["id", "h"]).dropDuplicates(["id", "h"])
+    rows = staged(rows.select("text", "toxic", "curve"), "toxic-rows")
     lexical = rows.filter("not curve")
     n_toxic, n_clean = lexical.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     none = Model(np.empty(0, np.uint64), np.empty(0), cost, 1.0, 1.0, (-np.inf, 0.0), threshold)
@@ -223,6 +229,7 @@ def fit(
     odds = F.log((F.col("t") + a) / (n_toxic + weight - F.col("t") - a)) - F.log((F.col("c") + a) / (n_clean + weight - F.col("c") - a))
     error = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("c") + a))
     sure = counts.filter(surprise(F.col("t"), F.col("c"), share) >= bound).select("unit", odds.alias("odds"), (odds / error).alias("z"))
+    sure = sure.filter(F.col("odds") >= odds_least)
     top = {r.unit: r.odds for r in sure.orderBy(F.desc("z"), "unit").limit(lexicon).collect()}
     if top:
         apart = contexts(lexical, np.array(sorted(top), np.int64).view(np.uint64))
