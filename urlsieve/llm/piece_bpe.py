@@ -30,8 +30,8 @@ from sentencepiece import sentencepiece_model_pb2
 from urlsieve.llm.store import parts, table
 
 MARK = "▁"
-CACHE = 300_000
-PAIRS = 2_000_000
+CACHE = 200_000
+PAIRS = 500_000
 LONG = 512
 
 
@@ -148,7 +148,7 @@ class PieceBpe:
         got = self.inside.get(text)
         if got is None:
             got = self.chunk_ids(text)
-            if len(text) <= LONG and len(self.inside) < CACHE:
+            if len(text) <= LONG and len(self.inside) < CACHE // 4:
                 self.inside[text] = got
         return got
 
