@@ -105,6 +105,23 @@ def test_near_groups_against_all_pairs(spark, sample, small_dir):
     assert got == roots(sorted(sets), links)
 
 
+def test_a_large_group_of_different_near_copies_is_one(spark):
+    rng = np.random.default_rng(1)
+    base = [f"word{k}" for k in rng.integers(0, 10**6, 204)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 101):  # four words apart from the base, eight from each other
+        own = base.copy()
+        for place in rng.choice(np.arange(5, 199, 6), 4, replace=False):
+            own[place] = f"own{k}at{place}"
+        rows.append((k, " ".join(own)))
+    sets = {i: set(shingles(t, 5)) for i, t in rows}
+    links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    assert len(set(want.values())) == 1 and len(links) < 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.id: r.first_id for r in simhash.near_groups(docs).collect()} == want
+
+
 def test_one_document_of_a_group_stays(spark, odd_docs, no_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns and simhash.keep_first(no_docs).collect() == []

@@ -22,7 +22,7 @@ give equal rows. An empty table gives an empty result. Only id and text columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -214,8 +214,8 @@ def near_groups(
     which no index prunes; so the keys are ``views`` further SimHashes, each over the
     ``sample`` shingles that come first in an order of its own: a view of two shingles agrees
     with probability 0.8^2, one of eight views with 0.9997. Candidates that share a view must
-    lie within ``limit`` bits (99.9 % of the pairs at 0.8 do); links that connect them are
-    then compared by their whole shingle sets. Documents with the same words are one node.
+    lie within ``limit`` bits (99.9 % of the pairs at 0.8 do) and are then compared by their
+    whole shingle sets, see ``near_components``. Documents with the same words are one node.
 
     A document is known by its id (null: ``NO_ID``, after all others) and a hash of its text.
     """
@@ -246,21 +246,68 @@ def near_groups(
     # one node per word sequence, named by a hash of its digest
     nodes = signed.groupBy("words").agg(F.min(F.struct("id", "t")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = staged(nodes.select(F.xxhash64("words").alias("leader"), "words", "first", "fp", "keys"), "near-nodes")
-    spread = nodes.select(F.explode("keys").alias("key"), "leader", "fp")
-    pairs = staged(linked(spread, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    wanted = pairs.select(F.col("a").alias("leader")).union(pairs.select("b")).distinct()
-    bearers = nodes.join(wanted, "leader").select("leader", "first.id", "first.t")
-    sets = staged(shingle_sets(rows.join(bearers, ["id", "t"]), width), "near-sets")
-    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    close = both.filter(shared >= similarity * (F.size("left") + F.size("right") - shared)).select("a", "b")
-    roots = components(close)
+
+    def sets(leaders: DataFrame) -> DataFrame:
+        return shingle_sets(rows.join(nodes.join(leaders, "leader").select("leader", "first.id", "first.t"), ["id", "t"]), width)
+
+    roots = near_components(nodes, sets, similarity, limit)
     placed = nodes.join(roots, F.col("leader") == F.col("node"), "left").select("words", "first", F.coalesce("root", "leader").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("top"))
     group = staged(placed.join(least, "root").select("words", F.col("top.id").alias("first_id"), F.col("top.t").alias("first_t")), "near-tops")
     return signed.select("id", "t", "words").join(group, "words").select("id", "t", "first_id", "first_t")
 
 
+def near_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, limit: int) -> DataFrame:
+    """``(node, root)``: the components of nodes ``(leader, fp, keys)`` by similar sets.
+
+    Within a key every member is compared with the most central one first, the one whose keys
+    hold most documents. What is verified joins its component, and the next turn compares the
+    following members, by rising hash and four times as many each turn, with all later members
+    of other components. A key leaves when its members are one component or every member had
+    its turn; so any two that share a key are compared unless they are connected already.
+    """
+    spread = nodes.select(F.explode("keys").alias("key"), "leader")
+    sizes = spread.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
+    common = staged(spread.join(sizes, "key"), "near-common")
+    weight = common.groupBy("leader").agg(F.sum("many").alias("weight"))
+    live = common.join(weight.join(nodes.select("leader", "fp"), "leader"), "leader")
+    live = staged(live.withColumn("root", F.col("leader")), "near-live")
+    bearers = staged(sets(weight.select("leader")), "near-sets")
+    place = F.col("leader") / F.lit(2.0**64) + 0.5
+    centre = F.max(F.struct("weight", "leader"))["leader"]
+    roots, turn = components(nodes.select(F.col("leader").alias("a"), F.col("leader").alias("b")).limit(0)), 0
+    while not live.isEmpty():
+        if not turn:
+            pivots = live.join(live.groupBy("key").agg(centre.alias("centre")), "key").filter("leader = centre")
+            apart = F.lit(True)
+        else:
+            pivots = live.filter((place >= turned(turn - 1)) & (place < turned(turn)))
+            apart = F.col("leader") > F.col("a")
+        pivots = pivots.select("key", F.col("leader").alias("a"), F.col("root").alias("r"), F.col("fp").alias("f"))
+        met = live.join(pivots, "key").filter((F.col("root") != F.col("r")) & apart)
+        met = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("f"))) <= limit)
+        pairs = met.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b"))
+        pairs = staged(pairs.distinct(), "near-pairs")
+        both = pairs.join(bearers.toDF("a", "left"), "a").join(bearers.toDF("b", "right"), "b")
+        shared = F.size(F.array_intersect("left", "right"))
+        close = staged(both.filter(shared >= similarity * (F.size("left") + F.size("right") - shared)).select("a", "b"), "near-close")
+        if not close.isEmpty():
+            roots = components(close.union(roots.toDF("a", "b")))
+            live = live.drop("root").join(roots, F.col("leader") == F.col("node"), "left").drop("node")
+            live = live.withColumn("root", F.coalesce("root", "leader"))
+        several = live.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+        live = staged(live.join(several.select("key"), "key").filter(turned(turn) < 1), "near-live")
+        turn += 1
+    return roots
+
+
+def turned(turns: int) -> Column:
+    """The share of a key's members that had their turn after ``turns``: 2, 10, 42, ... members, all of a short key."""
+    if not turns:
+        return F.lit(0.0)
+    return F.when(F.col("many") <= SHORT, 1.0).otherwise(2 * (4**turns - 1) / 3 / F.col("many"))
+
+
 def keyed(id_col: str, text_col: str) -> list[Column]:
     return [
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"),
