@@ -122,6 +122,31 @@ def test_a_large_group_of_different_near_copies_is_one(spark):
     assert {r.id: r.first_id for r in simhash.near_groups(docs).collect()} == want
 
 
+def test_similar_sets_meet_whatever_their_fingerprints_say(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):  # one line more, ten times over; the few new shingles keep the sets similar
+        words = [f"word{x}" for x in rng.integers(0, 10**6, 104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[:14] * 10))]
+    for k in range(100, 300):  # 8 words against 9: 4 shingles of 5
+        words = [f"word{x}" for x in rng.integers(0, 10**6, 9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1]))]
+    sets = {i: set(shingles(t, 5)) for i, t in rows}
+    assert all(len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, 80, 2))
+    got = {r.id: r.first_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+@settings(deadline=None)
+@given(st.integers(1, 2000), st.integers(0, 2**32))
+def test_bin_counts_differ_no_more_than_the_sets(n, seed):
+    rng = np.random.default_rng(seed)
+    known = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    other = np.unique(np.concatenate([known[rng.random(len(known)) < 0.9], rng.integers(0, 2**63, n // 10).astype(np.uint64)]))
+    left, right = (np.frombuffer(simhash.bin_counts(x), np.uint8).astype(int) for x in (known, other))
+    assert np.abs(left - right).sum() <= len(np.setxor1d(known, other))
+
+
 def test_one_document_of_a_group_stays(spark, odd_docs, no_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns and simhash.keep_first(no_docs).collect() == []

@@ -12,7 +12,7 @@ more than ``RUN`` fingerprints is dealt into pairs of blocks, so no task holds m
 blocks of one key. Within a key only links that connect are emitted, not all pairs, since
 components are wanted. Documents of a fingerprint are never paired; they meet by its value.
 
-``near_groups`` is the same search for similar word sets; see there.
+``near_groups`` finds similar word sets by other keys and an exact comparison; see there.
 
 Nulls and texts without words have fingerprint zero. A null id is no candidate for the
 smallest id of a group; a group of null ids only has a null ``component_id``. Equal rows
@@ -38,6 +38,7 @@ from urlsieve.llm.text import mix
 SEGMENTS = 8
 RUN = 1024
 SHORT = 16
+BINS = 64
 NO_ID = 2**63 - 1
 TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -53,6 +54,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(42)), np.uint64, len(words) - width + 1)
 
 
+def bin_counts(known: np.ndarray) -> bytes:
+    """How many distinct shingles fall into each of ``BINS`` bins, 255 at most."""
+    return np.minimum(np.bincount((known % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def fingerprint(hashes: np.ndarray) -> int:
     """Bits that are set in more than half of the hashes."""
     if not len(hashes):
@@ -204,7 +210,7 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
 
 
 def near_groups(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 8, sample: int = 2, limit: int = 18,
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 8, sample: int = 2,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``(id, t, first_id, first_t)``: documents and the first document of the group of each.
@@ -213,9 +219,9 @@ def near_groups(
     at least ``similarity``. At 0.8 two whole-text fingerprints differ in about ten bits,
     which no index prunes; so the keys are ``views`` further SimHashes, each over the
     ``sample`` shingles that come first in an order of its own: a view of two shingles agrees
-    with probability 0.8^2, one of eight views with 0.9997. Candidates that share a view must
-    lie within ``limit`` bits (99.9 % of the pairs at 0.8 do) and are then compared by their
-    whole shingle sets, see ``near_components``. Documents with the same words are one node.
+    with probability 0.8^2, one of eight views with 0.9997. Candidates that share a view are
+    compared by their whole shingle sets, see ``near_components``; bin counts of the sets only
+    spare pairs that cannot be similar. Documents with the same words are one node.
 
     A document is known by its id (null: ``NO_ID``, after all others) and a hash of its text.
     """
@@ -223,42 +229,43 @@ def near_groups(
     def signatures(source):
         seeds = mix(np.arange(1, views + 1, dtype=np.uint64))
         for batch in parts(source, "text"):
-            fps, digest, keys = [], [], []
+            size, bins, digest, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode()
                 hashes = shingle_hashes(raw, width)
-                fps.append(fingerprint(hashes))
                 digest.append(hashlib.blake2b(b" ".join(raw.translate(TO_LOWER).split()), digest_size=16).hexdigest())
                 known = np.unique(hashes)
+                size.append(len(known))
+                bins.append(bin_counts(known))
                 view = []
                 for v, seed in enumerate(seeds if len(known) else ()):
                     order = mix(known ^ seed)
                     taken = np.sort(order if len(order) <= sample else np.partition(order, sample - 1)[:sample])
                     view.append(xxhash.xxh64_intdigest(taken.tobytes(), v))
                 keys.append(np.array(view, np.uint64).view(np.int64))
-            yield table(["id", "t", "words", "fp", "keys"], [
+            yield table(["id", "t", "words", "size", "bins", "keys"], [
                 batch.column("id"), batch.column("t"), pa.array(digest, pa.string()),
-                pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())),
+                pa.array(size, pa.int64()), pa.array(bins, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
             ])
 
     rows = docs.select(*keyed(id_col, text_col))
-    signed = staged(rows.mapInArrow(signatures, "id long, t long, words string, fp long, keys array<long>"), "near-signed")
+    signed = staged(rows.mapInArrow(signatures, "id long, t long, words string, size long, bins binary, keys array<long>"), "near-signed")
     # one node per word sequence, named by a hash of its digest
-    nodes = signed.groupBy("words").agg(F.min(F.struct("id", "t")).alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    nodes = staged(nodes.select(F.xxhash64("words").alias("leader"), "words", "first", "fp", "keys"), "near-nodes")
+    nodes = signed.groupBy("words").agg(F.min(F.struct("id", "t")).alias("first"), *(F.first(c).alias(c) for c in ("size", "bins", "keys")))
+    nodes = staged(nodes.select(F.xxhash64("words").alias("leader"), "words", "first", "size", "bins", "keys"), "near-nodes")
 
     def sets(leaders: DataFrame) -> DataFrame:
         return shingle_sets(rows.join(nodes.join(leaders, "leader").select("leader", "first.id", "first.t"), ["id", "t"]), width)
 
-    roots = near_components(nodes, sets, similarity, limit)
+    roots = near_components(nodes, sets, similarity)
     placed = nodes.join(roots, F.col("leader") == F.col("node"), "left").select("words", "first", F.coalesce("root", "leader").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("top"))
     group = staged(placed.join(least, "root").select("words", F.col("top.id").alias("first_id"), F.col("top.t").alias("first_t")), "near-tops")
     return signed.select("id", "t", "words").join(group, "words").select("id", "t", "first_id", "first_t")
 
 
-def near_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, limit: int) -> DataFrame:
-    """``(node, root)``: the components of nodes ``(leader, fp, keys)`` by similar sets.
+def near_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """``(node, root)``: the components of nodes ``(leader, size, bins, keys)`` by similar sets.
 
     Within a key every member is compared with the most central one first, the one whose keys
     hold most documents. What is verified joins its component, and the next turn compares the
@@ -270,7 +277,7 @@ def near_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], si
     sizes = spread.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1")
     common = staged(spread.join(sizes, "key"), "near-common")
     weight = common.groupBy("leader").agg(F.sum("many").alias("weight"))
-    live = common.join(weight.join(nodes.select("leader", "fp"), "leader"), "leader")
+    live = common.join(weight.join(nodes.select("leader", "size", "bins"), "leader"), "leader")
     live = staged(live.withColumn("root", F.col("leader")), "near-live")
     bearers = staged(sets(weight.select("leader")), "near-sets")
     place = F.col("leader") / F.lit(2.0**64) + 0.5
@@ -283,11 +290,10 @@ def near_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], si
         else:
             pivots = live.filter((place >= turned(turn - 1)) & (place < turned(turn)))
             apart = F.col("leader") > F.col("a")
-        pivots = pivots.select("key", F.col("leader").alias("a"), F.col("root").alias("r"), F.col("fp").alias("f"))
+        pivots = pivots.select("key", F.col("leader").alias("a"), F.col("root").alias("r"), F.col("size").alias("n"), F.col("bins").alias("c"))
         met = live.join(pivots, "key").filter((F.col("root") != F.col("r")) & apart)
-        met = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("f"))) <= limit)
-        pairs = met.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b"))
-        pairs = staged(pairs.distinct(), "near-pairs")
+        met = met.select(F.least("a", "leader").alias("a"), F.greatest("a", "leader").alias("b"), (F.col("size") + F.col("n")).alias("n"), "bins", "c")
+        pairs = staged(may_be_close(met, similarity).distinct(), "near-pairs")
         both = pairs.join(bearers.toDF("a", "left"), "a").join(bearers.toDF("b", "right"), "b")
         shared = F.size(F.array_intersect("left", "right"))
         close = staged(both.filter(shared >= similarity * (F.size("left") + F.size("right") - shared)).select("a", "b"), "near-close")
@@ -301,6 +307,24 @@ def near_components(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], si
     return roots
 
 
+def may_be_close(met: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)`` of the pairs that can reach ``similarity``; no other pair does.
+
+    Sets of ``n`` members together differ in at most ``n * (1 - similarity) / (1 + similarity)``
+    of them, and the counts of their bins in no more.
+    """
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(source):
+        for batch in source:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins", "c"))
+            gap = np.abs(left.astype(np.int16) - right).sum(axis=1)
+            close = pa.array(gap <= batch.column("n").to_numpy() * share + 1e-6)
+            yield batch.select(["a", "b"]).filter(close)
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def turned(turns: int) -> Column:
     """The share of a key's members that had their turn after ``turns``: 2, 10, 42, ... members, all of a short key."""
     if not turns:
