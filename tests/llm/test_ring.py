@@ -44,6 +44,19 @@ def test_hot_text_is_dealt_and_small_groups_stay_whole(spark):
     assert sum(len(p) > 1 for p in places.values()) <= 15  # of 3,001: those at a full shard's border
 
 
+def test_many_empty_texts_are_dealt_though_they_have_few_bytes(spark, monkeypatch):
+    rows = [(i, None if i % 2 else "") for i in range(2000)] + [(10_000 + i, f"{i} " + "x" * 5000) for i in range(4000)]
+    most, plain = [], ring.assign_units
+
+    def assign(units, *how):
+        most.append(units.selectExpr("max(n)").first()[0])
+        return plain(units, *how)
+
+    monkeypatch.setattr(ring, "assign_units", assign)
+    check(ring.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    assert most[0] <= 20  # of 2,000 rows with the same text
+
+
 def test_few_keys_move_with_one_more_shard(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text")
     a, b = ({r.doc_id: r.home_shard for r in ring.shard_documents(rows, shards=n).collect()} for n in (8, 9))

@@ -3,8 +3,8 @@
 Every text hashes to one of ``2^16`` cells of the ring; a cell belongs to the first virtual
 node clockwise. A shard takes its cells, heaviest first, until its bound is reached; what
 does not fit continues clockwise to the next shard. A cell that holds more than a 4,096th
-of all bytes (a text with very many copies) is dealt in pieces by row hash, so no key is
-too large to be balanced. Loads come from a map-side sum per cell; the walk round the ring
+of all bytes or of all rows (a text with very many copies, the empty one for instance) is
+dealt in pieces by row hash, so no key is too large to be balanced or sorted. Loads come from a map-side sum per cell; the walk round the ring
 works on that table of bounded size, in at most as many rounds as there are shards.
 
 Nulls count as empty texts. Equal rows are separate rows at the same place. An empty table
@@ -115,12 +115,13 @@ def shard_documents(
         F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(PIECES)).cast("int").alias("part"),
     )
     cells = staged(rows.groupBy("cell").agg(F.sum("size").alias("cell_load"), F.count("*").alias("n")), "ring-cells")
-    total = cells.agg(F.sum("cell_load")).first()[0] or 0
-    # fewer than HEAVY cells can hold more than one part in HEAVY of the total
-    heavy = cells.filter(F.col("cell_load") * HEAVY > total).select("cell", "cell_load", F.lit(True).alias("heavy"))
+    total, many = (x or 0 for x in cells.agg(F.sum("cell_load"), F.sum("n")).first())
+    # fewer than 2 * HEAVY cells can hold more than one part in HEAVY of the bytes or of the rows
+    much = (F.col("cell_load") * HEAVY > total) | (F.col("n") * HEAVY > many)
+    heavy = cells.filter(much).select("cell", "cell_load", F.lit(True).alias("heavy"))
     dealt = rows.join(F.broadcast(heavy), "cell", "left").withColumn("piece", F.when(F.col("heavy"), F.col("part")).otherwise(-1))
     pieces = dealt.filter("heavy").groupBy("cell", "piece", "cell_load").agg(F.sum("size").alias("load"), F.count("*").alias("n"))
-    light = cells.filter(F.col("cell_load") * HEAVY <= total)
+    light = cells.filter(~much)
     units = pieces.unionByName(light.select("cell", F.lit(-1).alias("piece"), "cell_load", F.col("cell_load").alias("load"), "n"))
     taken = assign_units(units, math.ceil(total * (1 + slack) / shards), shards, vnodes)
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell", "piece").rowsBetween(Window.unboundedPreceding, -1))
