@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsieve.llm import brown
+from urlsieve.llm import brown, filter_audit, multi_index
 from urlsieve.llm.bitplanes import document_digests, write_planes
 from urlsieve.llm.debruijn import drop_repeats
 from urlsieve.llm.hnsw import nearest
 from urlsieve.llm.mixing import taken_words
 from urlsieve.llm.outliers import STATS, judge
 from urlsieve.llm.piece_bpe import encode_pieces
+from urlsieve.llm.randomness import BASE, count_of, find_secrets, joined
 from urlsieve.llm.ring import shard_documents
 from urlsieve.llm.simhash import simhash_components
 from urlsieve.llm.store import fold_of, reachable, scratch
@@ -73,6 +74,25 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select(
+        "doc_id", *[count_of(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(vectors.withColumn("label", moved))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_brown": op1_brown,
     "op2_bitplanes": op2_bitplanes,
@@ -84,5 +104,8 @@ QUERIES = {
     "op8_piece_bpe": op8_piece_bpe,
     "op9_mixing": op9_mixing,
     "op10_hnsw": op10_hnsw,
+    "op11_randomness": op11_randomness,
+    "op12_multi_index": op12_multi_index,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op12_multi_index": multi_index.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
