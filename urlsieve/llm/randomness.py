@@ -65,8 +65,9 @@ _HEX = _symbols(_DIGITS + _run("a", "f"))
 _HEX_UPPER = _symbols(_DIGITS + _run("A", "F"))
 _BASE64 = _symbols(_UPPER + _LOWER + _DIGITS + "+/")
 _BASE64[[ord("-"), ord("_")]] = _BASE64[[ord("+"), ord("/")]]
-#: of the text's windows; upper-case hex is inferred for runs but has the lower case's windows
-TABLES = (_symbols(_DIGITS), _HEX, _symbols(_UPPER + _run("2", "7")), _BASE64)
+_BASE32 = _symbols(_UPPER + _run("2", "7"))
+#: of the text's windows: capitals alone are rare in text, so it counts in capitals for base 32
+TABLES = (_symbols(_DIGITS), _HEX, np.maximum(_BASE32, _symbols(_LOWER)), _BASE64)
 OUTSIDE = _BASE64 < 0
 PLAIN = _symbols(_UPPER + _LOWER + _DIGITS) < 0
 
@@ -126,8 +127,7 @@ def long_runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     fit = ends - starts >= CLASSES[0]
     starts, ends = starts[fit], ends[fit]
     encoding = np.full(len(starts), 3)
-    symbols = [_BASE64] * 4
-    found = [(2, TABLES[2]), (1, _HEX_UPPER), (1, _HEX), (0, TABLES[0])]  # the smallest alphabet that holds all wins
+    found = [(2, _BASE32), (1, _HEX_UPPER), (1, _HEX), (0, TABLES[0])]  # the smallest alphabet that holds all wins
     chosen = np.full(len(starts), -1)
     for k, (e, codes) in enumerate(found):
         missing = np.zeros(len(data) + 1, np.int64)
