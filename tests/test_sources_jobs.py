@@ -140,8 +140,8 @@ def trained(spark, sf, built):
     root = built[0]
     master = training_rows(spark, f"{root}/out")
     cfg = ModelConfig(
-        vocabulary_size=200, linear_iterations=10, nn_hidden=(8,), nn_iterations=(5, 20), tree_rounds=3,
-        hybrid_rounds=2, tree_depth=3, hybrid_bins=32,
+        vocabulary_size=200, linear_epochs=10, nn_hidden=8, nn_epochs=3, nn_batch=64, tree_rounds=3,
+        hybrid_rounds=2, leaves=8, hybrid_bins=32,
     )
     return root, train(spark, master, f"{root}/run", cfg)
 

@@ -1,8 +1,8 @@
 """Every registered query with its DuckDB counterpart."""
 
-from urlsieve.catalog import corpus, evaluation, features, models, text
+from urlsieve.catalog import corpus, evaluation, features, given, models, text
 
-_MODULES = (corpus, features, evaluation, text, models)
+_MODULES = (corpus, features, evaluation, text, models, given)
 
 
 def all_queries() -> dict:

@@ -1,6 +1,7 @@
-"""Spark ML classifiers over the tabular and n-gram features, and their scores.
+"""The four classifiers over the tabular and n-gram features, and their scores.
 
-Scores stay keyed by url: nothing relies on the position of a row.
+All take sparse rows, an array of column numbers and one of values: the n-grams alone, the thirty
+features alone, or both side by side. Scores stay keyed by url: nothing relies on the position of a row.
 """
 
 from __future__ import annotations
@@ -8,54 +9,57 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
-    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
-)
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsieve.constants import FEATURE_NAMES
 from urlsieve.functions.features import extract_features
-from urlsieve.operators.evaluate import roc_auc, with_blends
-from urlsieve.operators.vectorize import (
-    VOCABULARY_SIZE, fit_scaler, scale, sparse_vector, vocabulary, weighted_terms,
-)
+from urlsieve.operators.boosting import BoostConfig, Boosted, fit_boosted
+from urlsieve.operators.epochs import Fitted, Linear, LinearConfig, NetworkConfig, fit_linear, fit_network
+from urlsieve.operators.evaluate import with_blends
+from urlsieve.operators.vectorize import VOCABULARY_SIZE, fit_scaler, scale, vocabulary, weighted_terms
 from urlsieve.session import materialize
 from urlsieve.sources.master import read_json, write_json
 
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Training parameters; the defaults are the published settings.
-
-    Trees of at most 63 leaves become depth 6. ``nn_iterations`` lists candidate
-    training lengths of which the best by validation AUC is kept. ``hybrid_rows`` bounds
-    the labelled rows that *fit* the hybrid trees: Spark's learner keeps one number per
-    feature and row, 80 KB a row at 20,030 features. Rows are taken by url hash, in equal
-    shares of either label; scoring and metrics cover all rows.
-    """
+    """Training parameters; the defaults are the published settings."""
 
     vocabulary_size: int = VOCABULARY_SIZE
     linear_l2: float = 1e-5
-    linear_iterations: int = 30
+    linear_epochs: int = 30
     linear_tolerance: float = 1e-4
-    nn_hidden: tuple[int, ...] = (256, 128)
-    nn_iterations: tuple[int, ...] = (50, 100)
+    nn_hidden: int = 256
+    nn_epochs: int = 12
+    nn_batch: int = 1024
+    nn_rate: float = 1e-3
     tree_rounds: int = 450
     tree_rate: float = 0.05
+    tree_bins: int = 255
     hybrid_rounds: int = 350
     hybrid_rate: float = 0.08
     hybrid_bins: int = 63
-    hybrid_rows: int = 50_000
-    tree_depth: int = 6
+    leaves: int = 63
+    leaf_rows: int = 20
     row_share: float = 0.85
     tree_columns: float = 0.85
     hybrid_columns: float = 0.80
     seed: int = 42
 
+    def linear(self) -> LinearConfig:
+        return LinearConfig(self.linear_l2, self.linear_epochs, self.linear_tolerance, seed=self.seed)
+
+    def network(self) -> NetworkConfig:
+        return NetworkConfig(self.nn_hidden, self.nn_epochs, self.nn_batch, self.nn_rate, seed=self.seed)
+
+    def trees(self) -> BoostConfig:
+        return BoostConfig(self.tree_rounds, self.tree_rate, self.leaves, self.tree_bins, self.row_share, self.tree_columns, self.leaf_rows, seed=self.seed)
+
+    def hybrid_trees(self) -> BoostConfig:
+        return BoostConfig(self.hybrid_rounds, self.hybrid_rate, self.leaves, self.hybrid_bins, self.row_share, self.hybrid_columns, self.leaf_rows, seed=self.seed)
+
 
 @dataclass
 class Vectorizer:
@@ -74,22 +78,20 @@ def fit_vectorizer(train: DataFrame, cfg: ModelConfig) -> Vectorizer:
 
 
 def vectorize(df: DataFrame, vec: Vectorizer) -> DataFrame:
-    """Add ``tab`` (30 scaled), ``tfidf`` (sparse) and ``hybrid`` = [tfidf | tab].
+    """Add ``indices`` and ``values`` of the n-grams, and ``tab``, the 30 scaled features.
 
     ``url`` is the key; rows of one url fold to one. Its other columns are carried through
     the regrouping of the n-grams, and the features depend on the url alone, so one hash
     exchange is all.
     """
     rest = tuple(c for c in df.columns if c != "url")
-    terms = weighted_terms(df, "url", "url", vec.vocab, vec.size, rest)
-    terms = terms.select("url", *rest, sparse_vector(F.col("indices"), F.col("values"), vec.size).alias("tfidf"))
-    return VectorAssembler(inputCols=["tfidf", "tab"], outputCol="hybrid").transform(with_tab(terms, vec.stats))
+    return with_tab(weighted_terms(df, "url", "url", vec.vocab, vec.size, rest), vec.stats)
 
 
 def with_tab(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
     """Add ``tab``, the 30 scaled features."""
     scaled = scale(extract_features(df, meta=None), stats)
-    return scaled.select(*df.columns, array_to_vector(F.array(*FEATURE_NAMES)).alias("tab"))
+    return scaled.select(*df.columns, F.array(*[F.col(n).cast("double") for n in FEATURE_NAMES]).alias("tab"))
 
 
 def tabular_table(df: DataFrame) -> DataFrame:
@@ -98,64 +100,45 @@ def tabular_table(df: DataFrame) -> DataFrame:
     return materialize(with_tab(df.withColumn("label", F.col("label").cast("double")), stats), "tabular")
 
 
-def linear_classifier(cfg: ModelConfig) -> LogisticRegression:
-    return LogisticRegression(
-        featuresCol="tfidf", labelCol="label", regParam=cfg.linear_l2, elasticNetParam=0.0,
-        maxIter=cfg.linear_iterations, tol=cfg.linear_tolerance, standardization=False,
-    )
+def text_row(size: int = 0) -> tuple[Column, Column]:
+    """The n-grams of a row, as column numbers and values."""
+    return F.col("indices"), F.col("values")
 
 
-def neural_classifier(cfg: ModelConfig, iterations: int) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(
-        featuresCol="tab", labelCol="label", layers=[len(FEATURE_NAMES), *cfg.nn_hidden, 2],
-        maxIter=iterations, seed=cfg.seed,
-    )
+def tab_row(size: int = 0) -> tuple[Column, Column]:
+    """The thirty features of a row."""
+    return F.expr(f"sequence(0, {len(FEATURE_NAMES) - 1})"), F.col("tab")
 
 
-def tree_classifier(cfg: ModelConfig) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="tab", labelCol="label", maxIter=cfg.tree_rounds, stepSize=cfg.tree_rate,
-        maxDepth=cfg.tree_depth, subsamplingRate=cfg.row_share,
-        featureSubsetStrategy=str(cfg.tree_columns), seed=cfg.seed,
-    )
+def hybrid_row(size: int) -> tuple[Column, Column]:
+    """The n-grams of a vocabulary of ``size``, and the thirty features behind them."""
+    last = size + len(FEATURE_NAMES) - 1
+    return F.expr(f"concat(indices, sequence({size}, {last}))"), F.concat("values", "tab")
 
 
-def hybrid_classifier(cfg: ModelConfig) -> GBTClassifier:
-    return GBTClassifier(
-        featuresCol="hybrid", labelCol="label", maxIter=cfg.hybrid_rounds, stepSize=cfg.hybrid_rate,
-        maxDepth=cfg.tree_depth, maxBins=cfg.hybrid_bins, subsamplingRate=cfg.row_share,
-        featureSubsetStrategy=str(cfg.hybrid_columns), seed=cfg.seed,
-    )
+def training_rows(table: DataFrame, split: str, row: tuple[Column, Column]) -> DataFrame:
+    """``(label, key, indices, values)`` of a split."""
+    indices, values = row
+    chosen = table.filter(F.col("split") == split)
+    return chosen.select("label", F.xxhash64("url").alias("key"), indices.alias("indices"), values.alias("values"))
 
 
-def at_most(df: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows by url hash, the same share of every label; all if there are no more."""
-    n = df.count()
-    if n <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(rows / n * 1_000_000))
+def fit_text(table: DataFrame, size: int, cfg: ModelConfig) -> Linear:
+    return fit_linear(training_rows(table, "train", text_row()), size, cfg.linear())
 
 
-def add_score(df: DataFrame, model, out: str) -> DataFrame:
-    """Probability of the malicious class."""
-    own = df.columns
-    scored = model.transform(df)
-    return scored.select(*own, vector_to_array("probability")[1].alias(out))
+def fit_neural(table: DataFrame, cfg: ModelConfig) -> Fitted:
+    """The state of best validation AUC of all epochs."""
+    val = training_rows(table, "val", tab_row())
+    return fit_network(training_rows(table, "train", tab_row()), len(FEATURE_NAMES), cfg.network(), val)
 
 
-def fit_neural(table: DataFrame, cfg: ModelConfig):
-    """The candidate of best validation AUC; a single candidate is taken as it is."""
-    train = table.filter(F.col("split") == "train")
-    fitted = [neural_classifier(cfg, n).fit(train) for n in cfg.nn_iterations]
-    if len(fitted) == 1:
-        return fitted[0]
-    val = table.filter(F.col("split") == "val")
+def fit_tabular(table: DataFrame, cfg: ModelConfig) -> Boosted:
+    return fit_boosted(training_rows(table, "train", tab_row()), len(FEATURE_NAMES), cfg.trees())
 
-    def auc(model) -> float:
-        row = roc_auc(add_score(val, model, "p"), "label", "p").first()
-        return row["roc_auc"] if row else 0.0
 
-    return max(fitted, key=auc)
+def fit_hybrid(table: DataFrame, size: int, cfg: ModelConfig) -> Boosted:
+    return fit_boosted(training_rows(table, "train", hybrid_row(size)), size + len(FEATURE_NAMES), cfg.hybrid_trees())
 
 
 @dataclass
@@ -163,13 +146,19 @@ class Models:
     """Everything needed to score a url."""
 
     vec: Vectorizer
-    nlp: LogisticRegressionModel
-    nn: MultilayerPerceptronClassificationModel
-    tree: GBTClassificationModel
-    hyb: GBTClassificationModel
+    nlp: Linear
+    nn: Fitted
+    tree: Boosted
+    hyb: Boosted
 
-    def experts(self) -> dict[str, object]:
-        return {"p_nlp": self.nlp, "p_nn": self.nn, "p_tree": self.tree, "p_hyb": self.hyb}
+    def experts(self) -> dict[str, Column]:
+        """Probability of the malicious class by each expert, over the columns of ``vectorize``."""
+        return {
+            "p_nlp": self.nlp.probability(*text_row()),
+            "p_nn": self.nn.probability(*tab_row()),
+            "p_tree": self.tree.probability(*tab_row()),
+            "p_hyb": self.hyb.probability(*hybrid_row(self.vec.size)),
+        }
 
 
 def training_table(df: DataFrame, vec: Vectorizer) -> DataFrame:
@@ -179,25 +168,17 @@ def training_table(df: DataFrame, vec: Vectorizer) -> DataFrame:
 
 def fit_models(df: DataFrame, cfg: ModelConfig) -> tuple[Models, DataFrame]:
     """df(url, label, split) -> fitted models and the vectors they were fitted on."""
-    train_urls = df.filter(F.col("split") == "train").select("url")
-    vec = fit_vectorizer(train_urls, cfg)
+    vec = fit_vectorizer(df.filter(F.col("split") == "train").select("url"), cfg)
     table = training_table(df.select("url", "label", "split"), vec)
-    train = table.filter(F.col("split") == "train")
     models = Models(
-        vec,
-        linear_classifier(cfg).fit(train.select("label", "tfidf")),
-        fit_neural(table.select("label", "split", "tab"), cfg),
-        tree_classifier(cfg).fit(train.select("label", "tab")),
-        hybrid_classifier(cfg).fit(at_most(train, cfg.hybrid_rows).select("label", "hybrid")),
+        vec, fit_text(table, vec.size, cfg), fit_neural(table, cfg), fit_tabular(table, cfg), fit_hybrid(table, vec.size, cfg)
     )
     return models, table
 
 
 def score_vectors(table: DataFrame, models: Models) -> DataFrame:
     """Add the four expert scores and the two blends; drops the vectors."""
-    for out, model in models.experts().items():
-        table = add_score(table, model, out)
-    return with_blends(table.drop("tab", "tfidf", "hybrid"))
+    return with_blends(table.withColumns(models.experts()).drop("tab", "indices", "values"))
 
 
 def score(df: DataFrame, models: Models) -> DataFrame:
@@ -220,33 +201,63 @@ def scheme_effect(df: DataFrame, label: str, models: Models, p: str = "p_serving
     return score(both, models).groupBy("variant", label).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"))
 
 
-def importances(spark: SparkSession, model: GBTClassificationModel) -> DataFrame:
-    """Feature importance in percent, 2 decimals."""
-    values = model.featureImportances.toArray()
+def importances(spark: SparkSession, model: Boosted, kind: str = "split") -> DataFrame:
+    """Share of each feature in the number of splits, or with ``gain`` in their gain: percent, 2 decimals."""
+    values = model.importance(kind)
     total = float(values.sum()) or 1.0
     rows = [(n, round(float(v) / total * 100, 2)) for n, v in zip(FEATURE_NAMES, values, strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-_CLASSES = {
-    "nlp": LogisticRegressionModel,
-    "nn": MultilayerPerceptronClassificationModel,
-    "tree": GBTClassificationModel,
-    "hyb": GBTClassificationModel,
-}
-
-
 def save_models(models: Models, path: str, cfg: ModelConfig) -> None:
+    """Tables and reports below ``path``: any reader of Parquet and JSON can take the models apart."""
     spark = models.vec.vocab.sparkSession
     models.vec.vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
     write_json(spark, {"size": models.vec.size, "stats": models.vec.stats}, f"{path}/scaler")
     write_json(spark, json.loads(json.dumps(asdict(cfg))), f"{path}/config")
-    for name in _CLASSES:
-        getattr(models, name).write().overwrite().save(f"{path}/{name}")
+    save_linear(spark, models.nlp, f"{path}/nlp")
+    save_network(spark, models.nn, f"{path}/nn")
+    save_trees(spark, models.tree, f"{path}/tree")
+    save_trees(spark, models.hyb, f"{path}/hyb")
+
+
+def save_linear(spark: SparkSession, model: Linear, path: str) -> None:
+    rows = [(i, float(w)) for i, w in enumerate(model.weights)]
+    spark.createDataFrame(rows, "idx int, weight double").write.mode("overwrite").parquet(f"{path}/weights")
+    write_json(spark, {"intercept": model.intercept, "losses": model.losses}, f"{path}/rest")
+
+
+def read_linear(spark: SparkSession, path: str) -> Linear:
+    rest = read_json(spark, f"{path}/rest")
+    weights = [r.weight for r in spark.read.parquet(f"{path}/weights").orderBy("idx").collect()]
+    return Linear(np.array(weights, float), rest["intercept"], rest["losses"])
+
+
+def save_network(spark: SparkSession, model: Fitted, path: str) -> None:
+    spark.createDataFrame([(model.flat.tolist(),)], "parameters array<double>").write.mode("overwrite").parquet(f"{path}/parameters")
+    write_json(spark, {"size": model.size, "config": asdict(model.cfg), "epochs": [list(e) for e in model.epochs]}, f"{path}/rest")
+
+
+def read_network(spark: SparkSession, path: str) -> Fitted:
+    rest = read_json(spark, f"{path}/rest")
+    flat = np.array(spark.read.parquet(f"{path}/parameters").first()["parameters"])
+    return Fitted(rest["size"], NetworkConfig(**rest["config"]), flat, [tuple(e) for e in rest["epochs"]])
+
+
+def save_trees(spark: SparkSession, model: Boosted, path: str) -> None:
+    model.ledger(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+    write_json(spark, {"base": model.base, "columns": model.columns}, f"{path}/rest")
+
+
+def read_trees(spark: SparkSession, path: str) -> Boosted:
+    rest = read_json(spark, f"{path}/rest")
+    return Boosted.read(spark.read.parquet(f"{path}/nodes"), rest["base"], rest["columns"])
 
 
 def load_models(spark: SparkSession, path: str) -> Models:
     saved = read_json(spark, f"{path}/scaler")
     stats = {n: (m, d) for n, (m, d) in saved["stats"].items()}
     vec = Vectorizer(spark.read.parquet(f"{path}/vocabulary"), saved["size"], stats)
-    return Models(vec, **{n: cls.load(f"{path}/{n}") for n, cls in _CLASSES.items()})
+    return Models(
+        vec, read_linear(spark, f"{path}/nlp"), read_network(spark, f"{path}/nn"), read_trees(spark, f"{path}/tree"), read_trees(spark, f"{path}/hyb")
+    )
