@@ -6,7 +6,7 @@ all second ones, ...), planes that are zero throughout are left out and the othe
 compressed with zstandard, each on its own. One row of the written table is one block: its place, its planes, and
 an index of the pieces of documents it holds, so that any block can be read alone.
 
-Nulls are empty texts; such a document has only its end id. Equal ids stay next to each
+Texts of any length are encoded whole. Nulls are empty texts; such a document has only its end id. Equal ids stay next to each
 other, ordered by a hash of their text; null ids come first. An empty table writes no block
 and reads back empty. Only the id and text columns are read.
 """
@@ -26,19 +26,27 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from urlsieve.llm.store import parts, shuffles_removed, table
+from urlsieve.llm.text import cut_words, owners, spans, utf8
 
 BLOCK = 1 << 16
-CACHE = 500_000
+CACHE = 800_000
 LONG = 256
-#: a space beside other white space: the pre-tokenizer does not cut there
-CLOSE = re.compile(r"\s\s")
+ONE_SPACE = np.zeros(256, bool)
+ONE_SPACE[0x20] = True
+#: white space of one byte, and first bytes of white space of several
+BLANK = np.zeros(256, bool)
+BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+LEAD = np.zeros(256, bool)
+LEAD[list({c.encode()[0] for c in map(chr, range(0x80, 0x3001)) if c.isspace()})] = True
+CLOSE = re.compile(r"\s\s|\s\Z")
 
 
 class ByteBpe:
-    """The tokenizers library behind a memory of chunks.
+    """The tokenizers library behind a memory of words.
 
     Byte-level pre-tokenization always cuts before a space between two other characters, so
-    the ids of ``" word"`` do not depend on what stands around it.
+    the ids of ``" word"`` do not depend on what stands around it. The ids of all words that a
+    worker remembers lie one after the other in one array.
     """
 
     def __init__(self, path: str):
@@ -47,49 +55,89 @@ class ByteBpe:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.marks = [t.encode() for t in self.special]
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ends = np.zeros(1, np.int64)
+        self.ids = np.empty(0, "<u4")
+        self.heads: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def head(self, word: bytes) -> bytes:
+        """Ids of a word that opens a text."""
+        got = self.heads.get(word)
+        if got is None:
+            got = self.heads[word] = self.whole(word.decode())
+        return got
+
+    def sure(self, raw: bytes, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Texts without special tokens and without white space that the cuts do not account for:
+        two in a row, one at the end, a space at the start."""
+        out = offs[1:] > offs[:-1]
+        blank = BLANK[data]
+        twice = np.flatnonzero(blank[1:] & blank[:-1])
+        owner = np.searchsorted(offs, twice, "right") - 1
+        out[owner[twice + 1 < offs[owner + 1]]] = False
+        some = np.flatnonzero(out)
+        out[some] = (data[offs[some]] != 0x20) & ~blank[offs[some + 1] - 1]
+        for mark in self.marks:
+            at = raw.find(mark)
+            while at >= 0:
+                out[np.searchsorted(offs, at, "right") - 1] = False
+                at = raw.find(mark, at + 1)
+        # white space of several bytes is rare: these texts are read as text
+        lead = np.flatnonzero(LEAD[data])
+        for k in np.unique(np.searchsorted(offs, lead, "right") - 1).tolist():
+            if out[k] and CLOSE.search(raw[offs[k] : offs[k + 1]].decode()):
+                out[k] = False
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Ids of all words, each behind a space, with one call of the library."""
         if not words:
             return
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-        raw = ids.tobytes()
-        for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
-            self.recent[word] = raw[4 * a : 4 * b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        if len(self.recent) > CACHE:
-            self.older, self.recent = self.recent, {}
-        cut, missing = [], set()
-        for text in texts:
-            words = text.split(" ")
-            sure = "" not in words and not text[-1:].isspace() and not CLOSE.search(text)
-            if not sure or any(s in text for s in self.special):
-                cut.append(None)
-                continue
-            cut.append(words)
-            missing.update(words)
-        missing -= self.recent.keys()
-        if self.older:
-            for word in list(missing):
-                got = self.older.get(word)
-                if got is not None:
-                    self.recent[word] = got
-                    missing.discard(word)
-        self.learn(list(missing))
+        starts = np.flatnonzero(self.opens[ids])
+        self.place |= zip(words, range(len(self.place), len(self.place) + len(words)), strict=True)
+        self.ends = np.concatenate([self.ends, len(self.ids) + starts[1:], [len(self.ids) + len(ids)]])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Places of the words in the memory; the library is asked for those that are new."""
+        at = list(map(self.place.get, words))
+        if None in at:
+            self.learn([w for w, p in zip(words, at, strict=True) if p is None])
+            at = list(map(self.place.get, words))
+        return np.array(at, np.int64)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of every text of an Arrow array."""
+        if len(self.place) + len(self.heads) > CACHE:
+            self.forget()
+        data, offs = utf8(column)
+        raw = data.tobytes()
+        sure = self.sure(raw, data, offs)
+        s, e, first = spans(data, offs, ONE_SPACE)
+        inner = sure[owners(first)]
+        inner[first[:-1][np.diff(first) > 0]] = False  # a text's first word has no space before it
+        own = np.flatnonzero(inner)
+        seen = cut_words(data, s[own], e[own]).dictionary_encode()
+        at = self.known(seen.dictionary.to_numpy(zero_copy_only=False).tolist())[seen.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.ends[at + 1] - self.ends[at]
+        after = np.cumsum(sizes)
+        ids = self.ids[np.arange(int(sizes.sum())) + np.repeat(self.ends[at] - (after - sizes), sizes)].tobytes()
+        cuts = 4 * np.concatenate([[0], after])[np.searchsorted(own, first)]
         out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(self.mixed(text))
+        for k, plain in enumerate(sure.tolist()):
+            if plain:
+                word = first[k]
+                out.append(self.head(raw[s[word] : e[word]]) + ids[cuts[k] : cuts[k + 1]])
             else:
-                out.append(self.whole(words[0]) + b"".join(map(self.recent.__getitem__, words[1:])))
+                out.append(self.mixed(raw[offs[k] : offs[k + 1]].decode()))
         return out
 
     def mixed(self, text: str) -> bytes:
@@ -104,11 +152,12 @@ class ByteBpe:
             else:
                 run.append(word)
         runs.append(run)
-        alone = {r[0] for r in runs[1:] if len(r) == 1 and not r[0][-1].isspace()}
-        self.learn(list(alone - self.recent.keys()))
+        alone = list({r[0] for r in runs[1:] if len(r) == 1 and not r[0][-1].isspace()})
+        place = dict(zip(alone, self.known(alone).tolist(), strict=True))
         out = [self.whole(" ".join(runs[0]))]
         for r in runs[1:]:
-            out.append(self.recent[r[0]] if len(r) == 1 and r[0] in alone else self.whole(" " + " ".join(r)))
+            at = place.get(r[0]) if len(r) == 1 else None
+            out.append(self.whole(" " + " ".join(r)) if at is None else self.ids[self.ends[at] : self.ends[at + 1]].tobytes())
         return b"".join(out)
 
 
@@ -198,8 +247,7 @@ def write_planes(
             waiting, held = [ids[at:].tobytes()], len(ids) - at
 
         for batch in parts(source, "text"):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), bpe.encode(texts), strict=True):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), bpe.encode(batch.column("text")), strict=True):
                 waiting += [raw, end]
                 pieces.append((doc, seq, len(raw) // 4 + 1))
                 held, seq = held + len(raw) // 4 + 1, seq + 1
