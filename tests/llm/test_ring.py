@@ -57,6 +57,14 @@ def test_many_empty_texts_are_dealt_though_they_have_few_bytes(spark, monkeypatc
     assert most[0] <= 20  # of 2,000 rows with the same text
 
 
+@pytest.mark.parametrize("same", [1, None])
+def test_equal_rows_and_null_ids_are_dealt(spark, same):
+    rows = [(same, "the same text")] * 3000 + [(10_000 + i, f"{i % 90:2d} of the rest") for i in range(3000)]
+    loads = check(ring.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    mean = sum(loads.values()) / 16
+    assert len(loads) == 16 and 0.9 * mean < min(loads.values()) and max(loads.values()) < 1.1 * mean
+
+
 def test_few_keys_move_with_one_more_shard(spark):
     rows = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text")
     a, b = ({r.doc_id: r.home_shard for r in ring.shard_documents(rows, shards=n).collect()} for n in (8, 9))

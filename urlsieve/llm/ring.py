@@ -4,11 +4,15 @@ Every text hashes to one of ``2^16`` cells of the ring; a cell belongs to the fi
 node clockwise. A shard takes its cells, heaviest first, until its bound is reached; what
 does not fit continues clockwise to the next shard. A cell that holds more than a 4,096th
 of all bytes or of all rows (a text with very many copies, the empty one for instance) is
-dealt in pieces by row hash, so no key is too large to be balanced or sorted. Loads come from a map-side sum per cell; the walk round the ring
-works on that table of bounded size, in at most as many rounds as there are shards.
-
-Nulls count as empty texts. Equal rows are separate rows at the same place. An empty table
-gives an empty result. Only the id and text columns are read.
+dealt in pieces by a hash of id and size, and a piece that is still as heavy (rows of one id)
+by the row's number in a written table; so no key is too large to be balanced or sorted. Loads
+come from a map-side sum per cell; the walk round the ring works on that table of bounded size,
+in at most as many rounds as there are shards.
+
+Nulls count as empty texts; a null id is an id like any other. Equal rows are separate rows at the
+same place. A text of any length is one row and stays whole, so a shard can pass the others by one
+text where a single one is larger than the slack. An empty table gives an empty result. Only
+the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -107,19 +111,28 @@ def shard_documents(
     side. ``home_shard`` is where the ring puts the text without bounds.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    rows = staged(docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         cell_of(text).alias("cell"),
         F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text)), F.lit(PIECES)).cast("int").alias("part"),
-    )
+        F.monotonically_increasing_id().alias("row"),
+    ), "ring-rows")
     cells = staged(rows.groupBy("cell").agg(F.sum("size").alias("cell_load"), F.count("*").alias("n")), "ring-cells")
     total, many = (x or 0 for x in cells.agg(F.sum("cell_load"), F.sum("n")).first())
-    # fewer than 2 * HEAVY cells can hold more than one part in HEAVY of the bytes or of the rows
-    much = (F.col("cell_load") * HEAVY > total) | (F.col("n") * HEAVY > many)
+
+    # fewer than 2 * HEAVY cells, or pieces, can hold more than one part in HEAVY of the bytes or of the rows
+    def too_much(load: str) -> Column:
+        return (F.col(load) * HEAVY > total) | (F.col("n") * HEAVY > many)
+
+    much = too_much("cell_load")
     heavy = cells.filter(much).select("cell", "cell_load", F.lit(True).alias("heavy"))
     dealt = rows.join(F.broadcast(heavy), "cell", "left").withColumn("piece", F.when(F.col("heavy"), F.col("part")).otherwise(-1))
+    whole = dealt.filter("heavy").groupBy("cell", "piece").agg(F.sum("size").alias("load"), F.count("*").alias("n"))
+    still = whole.filter(too_much("load")).select("cell", "piece", F.lit(True).alias("still"))
+    by_row = (F.col("piece") + 1) * PIECES + F.pmod(F.xxhash64("row"), F.lit(PIECES)).cast("int")
+    dealt = dealt.join(F.broadcast(still), ["cell", "piece"], "left").withColumn("piece", F.when(F.col("still"), by_row).otherwise(F.col("piece")))
     pieces = dealt.filter("heavy").groupBy("cell", "piece", "cell_load").agg(F.sum("size").alias("load"), F.count("*").alias("n"))
     light = cells.filter(~much)
     units = pieces.unionByName(light.select("cell", F.lit(-1).alias("piece"), "cell_load", F.col("cell_load").alias("load"), "n"))
@@ -129,7 +142,7 @@ def shard_documents(
         taken.select("cell", "piece", "shard", F.coalesce(before, F.lit(0)).alias("base"), F.col("route")[0].alias("home_shard")),
         "ring-placed",
     )
-    own = Window.partitionBy("cell", "piece").orderBy("text_crc32", "doc_id", "size")
+    own = Window.partitionBy("cell", "piece").orderBy("text_crc32", "doc_id", "size", "row")
     return dealt.drop("cell_load").join(placed, ["cell", "piece"]).select(
         "doc_id", "size", "text_crc32",
         F.lit("bytes").alias("law"),
