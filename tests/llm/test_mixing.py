@@ -65,6 +65,19 @@ def test_documents_of_the_mix_hold_what_was_taken(spark, odd_docs, odd_rows):
     assert mixing.mixed_documents(odd_docs.limit(0)).collect() == []
 
 
+def test_rows_that_differ_in_another_column_keep_it(spark):
+    rows = [(1, "a b c d e f g h", "en", "s", "first"), (1, "a b c d e f g h", "de", "s", "second"), (1, "a b c d e f g h", None, "s", ""), (1, "a b c d e f g h", "", "s", None)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, note string")
+    # five rows of 8 words, each wholly drawn at least once
+    got = Counter((r.lang, r.note) for r in mixing.mixed_documents(docs, block=8, share=2.0).collect())
+    assert got == {("en", "first"): 4, ("de", "second"): 2, (None, ""): 2, ("", None): 2}
+
+
+def test_a_long_text_is_mixed_whole(spark):
+    docs = spark.createDataFrame([(1, "word " * 600_000, "s"), (2, "few words", "s")], "doc_id long, text string, source string")
+    assert sum(size(r.text) for r in mixing.mixed_documents(docs, share=1.0, passes=1).collect()) == 600_002
+
+
 def test_slots_are_exact_and_distinct_in_a_pass(spark):
     plan = mixing.Plan({"0a": 10_000, "0b": 3_000, "1": 64}, 1.5, 2, 10)
     rows = mixing.slots(spark, plan, 5, per_shard=97).collect()

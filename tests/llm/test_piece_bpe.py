@@ -21,7 +21,7 @@ def test_ids_and_text_equal_the_library(text):
 
 
 def test_a_full_memory_changes_nothing(monkeypatch, sample):
-    monkeypatch.setattr(piece_bpe, "CACHE", 20)
+    monkeypatch.setattr(piece_bpe, "MEMORY", 2000)
     monkeypatch.setattr(piece_bpe, "PAIRS", 30)
     own = piece_bpe.PieceBpe(PATH)
     for _, text in sample[:20]:

@@ -155,3 +155,11 @@ def test_one_document_of_a_group_stays(spark, odd_docs, no_docs):
     assert 1 in ids and 3 not in ids and 4 not in ids  # the copy, the repeated row and the near copy
     assert sorted(i for i in ids if i in (5, 6, 7)) == [5]  # texts without words are one
     assert ids.count(12) == 2 and len(rows) == 11
+
+
+def test_of_equal_id_and_text_the_first_by_the_other_columns_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "z", "b"), (1, text, "a", None), (1, text, "a", "c"), (2, text, "a", "a")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, note string").repartition(3)
+        assert [(r.doc_id, r.lang, r.note) for r in simhash.keep_first(docs).collect()] == [(1, "a", None)]

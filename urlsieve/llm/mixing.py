@@ -25,7 +25,7 @@ from itertools import cycle
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urlsieve.llm.store import parts, staged, table
@@ -73,13 +73,21 @@ def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``(doc_id, t, skey, size, offset)`` per row: where its words begin in its source's stream."""
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row; a null is told from an empty text."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
+def streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, whole: bool = False) -> DataFrame:
+    """``(doc_id, t, r, skey, size, offset)`` per row: where its words begin in its source's stream.
+
+    ``t`` is a hash of the text, ``r`` with ``whole`` one of all columns, else 0.
+    """
 
     def count(source):
         for batch in parts(source, "text"):
             _, _, first = spans(*utf8(batch.column("text")))
-            yield table(["doc_id", "t", "skey", "size"], [*(batch.column(c) for c in ("doc_id", "t", "skey")), pa.array(np.diff(first), pa.int64())])
+            yield table(["doc_id", "t", "r", "skey", "size"], [*(batch.column(c) for c in ("doc_id", "t", "r", "skey")), pa.array(np.diff(first), pa.int64())])
 
     def number(source):
         part, at = TaskContext.get().partitionId(), {}
@@ -92,21 +100,22 @@ def streams(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
                 had = at.get(keys[a], 0)
                 offsets[a:b] += had - offsets[a]
                 at = {keys[a]: had + int(sizes[a:b].sum())}  # sources come one after the other
-            yield table(["doc_id", "t", "skey", "size", "at", "part"], [*batch.columns, pa.array(offsets, pa.int64()), pa.array([part] * len(keys), pa.int32())])
+            yield table(["doc_id", "t", "r", "skey", "size", "at", "part"], [*batch.columns, pa.array(offsets, pa.int64()), pa.array([part] * len(keys), pa.int32())])
 
     source = F.col(source_col).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"),
+        (row_hash(docs) if whole else F.lit(0).cast("long")).alias("r"),
         F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)).alias("skey"),
         F.col(text_col).alias("text"),
     )
-    sized = staged(rows.mapInArrow(count, "doc_id long, t long, skey string, size long"), "mix-sized")
-    ranged = sized.repartitionByRange("skey", "doc_id", "t").sortWithinPartitions("skey", "doc_id", "t")
-    numbered = staged(ranged.mapInArrow(number, "doc_id long, t long, skey string, size long, at long, part int"), "mix-numbered")
+    sized = staged(rows.mapInArrow(count, "doc_id long, t long, r long, skey string, size long"), "mix-sized")
+    ranged = sized.repartitionByRange("skey", "doc_id", "t", "r").sortWithinPartitions("skey", "doc_id", "t", "r")
+    numbered = staged(ranged.mapInArrow(number, "doc_id long, t long, r long, skey string, size long, at long, part int"), "mix-numbered")
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = numbered.groupBy("skey", "part").agg(F.sum("size").alias("n")).select("skey", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return numbered.join(bases, ["skey", "part"]).select("doc_id", "t", "skey", "size", (F.col("at") + F.col("base")).alias("offset"))
+    return numbered.join(bases, ["skey", "part"]).select("doc_id", "t", "r", "skey", "size", (F.col("at") + F.col("base")).alias("offset"))
 
 
 class Plan:
@@ -176,10 +185,10 @@ def slots(spark: SparkSession, plan: Plan, seed: int, per_shard: int = SLOTS) ->
 
 def mixed(
     docs: DataFrame, share: float = 1.5, passes: int = 2, block: int = 128, seed: int = 7,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False,
 ) -> tuple[DataFrame, DataFrame, Plan]:
     """Stream places of all rows, the slots of the mix, and the plan behind them."""
-    placed = staged(streams(docs, id_col, text_col, source_col), "mix-placed")
+    placed = staged(streams(docs, id_col, text_col, source_col, whole), "mix-placed")
     sizes = {r.skey: r.n for r in placed.groupBy("skey").agg(F.sum("size").alias("n")).collect()}
     plan = Plan(sizes, share, passes, block)
     return placed, staged(slots(docs.sparkSession, plan, seed), "mix-slots"), plan
@@ -192,7 +201,7 @@ def pieces(placed: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
     low = F.greatest(F.col("block") * block, "offset") - F.col("offset")
     high = F.least((F.col("block") + 1) * block, F.col("offset") + F.col("size")) - F.col("offset")
     return held.join(drawn.select("skey", "block", "pass"), ["skey", "block"]).select(
-        "doc_id", "t", "skey", "offset", "pass", low.alias("low"), high.alias("high")
+        "doc_id", "t", "r", "skey", "offset", "pass", low.alias("low"), high.alias("high")
     )
 
 
@@ -211,22 +220,20 @@ def mixed_documents(docs: DataFrame, block: int = 128, id_col: str = "doc_id", t
     """Rows of ``docs`` as the mix takes them: one per document and pass, ``text`` cut to what was drawn.
 
     Drawn words keep the white space between them; a newline stands where words were left
-    out. Other columns are unchanged. Rows equal in id, text and source
-    are copies of one document, each with draws of its own.
+    out. Other columns are unchanged. Every row has draws of its own, equal rows too; rows
+    that differ in any column are told apart by a hash of all columns.
     """
-    placed, drawn, _ = mixed(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    placed, drawn, _ = mixed(docs, block=block, id_col=id_col, text_col=text_col, source_col=source_col, whole=True, **how)
     cuts = (
         pieces(placed, drawn, block)
-        .groupBy("doc_id", "t", "skey", "offset", "pass")
+        .groupBy("doc_id", "r", "skey", "offset", "pass")
         .agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("__cuts"))
-        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("t").alias("__t"), F.col("skey").alias("__skey"), "__cuts")
+        .select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("r").alias("__r"), F.col("skey").alias("__skey"), "__cuts")
     )
     source = F.col(source_col).cast("string")
     # one key without nulls for both steps, so that texts are shuffled once
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(
-        "__t", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    ).withColumn("__skey", F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)))
-    key = ["__id", "__t", "__skey"]
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__r", row_hash(docs)).withColumn("__skey", F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)))
+    key = ["__id", "__r", "__skey"]
     joined = keyed.dropDuplicates(key).join(cuts, key).drop(*key)
     names = docs.columns
 

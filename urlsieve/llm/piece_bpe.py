@@ -10,13 +10,15 @@ Texts fall apart at word marks that follow another character, since no piece of
 vocabulary has a mark there (checked when the model is read); repeated chunks are encoded
 once per Python worker. Nulls are empty texts; an empty text has no ids and decodes to an
 empty text. Rows are independent, so repeated rows, ties and extra columns do not matter.
-The state of a worker is bounded by ``CACHE`` chunks and ``PAIRS`` pair tests.
+Texts and words of any length are encoded whole; only words up to ``LONG`` characters are
+remembered. A worker remembers ``MEMORY`` bytes of words at most, and ``PAIRS`` pair tests.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from array import array
 from functools import lru_cache
 
@@ -27,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from urlsieve.llm.store import parts, table
+from urlsieve.llm.store import parts, table, tidy
 
 MARK = "▁"
-CACHE = 200_000
-PAIRS = 500_000
+MEMORY = 16 << 20
+PAIRS = 100_000
 LONG = 512
+#: bytes of a dictionary's place for one entry
+ENTRY = 100
 
 
 class PieceBpe:
@@ -72,6 +76,7 @@ class PieceBpe:
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.inside: dict[str, bytes] = {}
+        self.held = self.held_inside = 0
 
     def merged(self, text: str) -> list[str]:
         """Encoding of a short text by its definition: merge the best pair, leftmost first."""
@@ -138,9 +143,10 @@ class PieceBpe:
             else:
                 got = self.chunk_ids(chunk)
         if len(word) <= LONG:
-            if len(self.recent) >= CACHE:
-                self.older, self.recent = self.recent, {}
+            if self.held > MEMORY // 2:
+                self.older, self.recent, self.held = self.recent, {}, 0
             self.recent[word] = got
+            self.held += sys.getsizeof(word) + sys.getsizeof(got) + ENTRY
         return got
 
     def part(self, text: str) -> bytes:
@@ -148,8 +154,9 @@ class PieceBpe:
         got = self.inside.get(text)
         if got is None:
             got = self.chunk_ids(text)
-            if len(text) <= LONG and len(self.inside) < CACHE // 4:
+            if len(text) <= LONG and self.held_inside < MEMORY // 4:
                 self.inside[text] = got
+                self.held_inside += sys.getsizeof(text) + sys.getsizeof(got) + ENTRY
         return got
 
     def encode(self, text: str) -> list[int]:
@@ -192,6 +199,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``path`` names the model file on every executor.
     """
 
+    @tidy
     def run(source):
         bpe = piece_bpe(path)
         for batch in parts(source, "text"):

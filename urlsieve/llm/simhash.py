@@ -354,11 +354,15 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The first document of every group, one row each, columns unchanged.
 
-    First is the smallest id, then the smallest text hash; a repeated row stays once.
+    First is the smallest id, then the smallest text hash; of rows equal in id and text the
+    first by the other columns, in their order, stays.
     """
     names = docs.columns
     groups = near_groups(docs, id_col=id_col, text_col=text_col, **how)
     first = groups.select(F.col("first_id").alias("__id"), F.col("first_t").alias("__t")).distinct()
     own_id, own_t, _ = keyed(id_col, text_col)
     rows = docs.withColumn("__id", own_id).withColumn("__t", own_t)
-    return rows.join(first, ["__id", "__t"]).dropDuplicates(["__id", "__t"]).select(*names)
+    # not a window: rows of one id and text fold before they are shuffled
+    others = F.struct(*[F.col(f"`{n}`") for n in names])
+    kept = rows.join(first, ["__id", "__t"]).groupBy("__id", "__t").agg(F.min(others).alias("__row"))
+    return kept.select(*[F.col("__row").getField(n).alias(n) for n in names])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlsieve.llm.store import fold_of, parts, staged, table
+from urlsieve.llm.store import fold_of, parts, staged, table, tidy
 from urlsieve.llm.text import LOWER, distinct, mix, owners, spans, utf8, word_hashes
 
 APART = np.ones(256, bool)
@@ -68,6 +68,7 @@ def units_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def unit_counts(rows: DataFrame) -> DataFrame:
     """Documents of either label that hold a unit: ``(unit, toxic, clean)``, summed per batch only."""
 
+    @tidy
     def run(source):
         for batch in parts(source, "text", 1 << 20):
             units, first = units_of(batch)
@@ -140,6 +141,7 @@ def evidence(model: Model, batch: pa.RecordBatch) -> list[list[tuple[int, int, f
 def strengths(model: Model, rows: DataFrame) -> DataFrame:
     """``(toxic, bin, n)``: how many labelled texts have how much evidence."""
 
+    @tidy
     def run(source):
         for batch in parts(source, "text"):
             x = [np.log1p(sum(v for _, _, v in segments)) for segments in evidence(model, batch)]
@@ -173,6 +175,7 @@ def surprise(t: Column, c: Column, share: float) -> Column:
 def contexts(rows: DataFrame, units: np.ndarray) -> DataFrame:
     """``(unit, toxic, clean)``: in how many different neighbourhoods candidates stand."""
 
+    @tidy
     def run(source):
         for batch in parts(source, "text", 1 << 20):
             kinds, first = units_of(batch)
@@ -254,6 +257,7 @@ def fit(
 def extreme_values(model: Model, clean: DataFrame) -> tuple[float, float]:
     """lambda and K of the score statistics, from how often tokens score in clean texts."""
 
+    @tidy
     def run(source):
         for batch in parts(source, "text"):
             gain = lookup(model, units_of(batch)[0])
@@ -281,6 +285,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[st
     kept = [f.name for f in docs.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    @tidy
     def run(source):
         for batch in parts(source, text_col):
             texts = pa.RecordBatch.from_arrays([batch.column(text_col)], ["text"])
