@@ -1,10 +1,13 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests import rowwise
 from tests.test_urls import ODD, frame, fuzz
-from urlsieve.constants import BRANDS, FEATURE_NAMES, KEYWORDS, SMOKE_URLS, TLD_RISK
-from urlsieve.functions.brands import brand_dim, brand_exact, brand_match
+from urlsieve.constants import BRANDS, COMMON_TLDS, FEATURE_NAMES, KEYWORDS, SMOKE_URLS, TLD_RISK
+from urlsieve.functions.brands import brand_dim, brand_exact, brand_match, near_brands
 from urlsieve.functions.features import extract_features
 
 EDGE = [
@@ -70,3 +73,31 @@ def test_own_brands(spark):
     df = frame(spark, ["x"]).withColumn("host", F.lit("acma1-shop.com"))
     got = brand_match(df, "host", brands=["acme", "shop"]).first()
     assert (got.dist, got.brand) == (0, "shop")
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_near_brands_by_shared_deletions(spark, most):
+    rng = random.Random(most)
+    names = ["".join(rng.choices("abcde", k=rng.randint(3, 8))) for _ in range(300)] + BRANDS + ["ééé", "日本語語"]
+    brands = list(enumerate(dict.fromkeys(names)))
+    hosts = ["", "ab.com", "com.net", "paypa1-secure.tk", "gogle.icu", "日本語.jp", "éé1ee.com"]
+    hosts += [".".join("".join(rng.choices("abcdef", k=rng.randint(2, 9))) for _ in range(2)) for _ in range(250)]
+    words = lambda h: [t for t in re.split(r"[-._0-9]+", h) if len(t) >= 3 and t not in COMMON_TLDS]
+    want = {}
+    for i, h in enumerate(hosts):
+        near = [(rowwise.edit(t, b), k, b) for t in words(h) for k, b in brands]
+        if near and min(near)[0] <= most:
+            want[i] = min(near)
+    df = spark.createDataFrame(list(enumerate(hosts)), "i int, host string")
+    table = spark.createDataFrame(brands, "idx int, brand string")
+    got = near_brands(df, "i", "host", table, most)
+    assert {r.i: (r.dist, r.idx, r.brand) for r in got.collect()} == want
+    assert near_brands(df, "i", "host", table.limit(0)).collect() == []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "paypal" not in plan and "Cartesian" not in plan
+
+
+def test_near_brands_of_a_large_table(spark):
+    names = spark.range(50_000).selectExpr("cast(id AS int) AS idx", "concat('name', lpad(cast(conv(id, 10, 26) AS string), 4, 'z'), 'x') AS brand")
+    hosts = spark.createDataFrame([(1, "nam-name.org"), (2, "namezz1ax.com")], "i int, host string")
+    assert near_brands(hosts, "i", "host", names).filter("dist > 2").collect() == []

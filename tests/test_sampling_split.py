@@ -78,3 +78,22 @@ def test_seeded_order_is_a_shuffle(table):
     rows, df = table
     got = [r.url for r in sampling.seeded_order(df).collect()]
     assert got == sorted((r[0] for r in rows), key=lambda u: digest(42, u))
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_numbered_order_is_the_order(spark, table, parts):
+    rows, df = table
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.url: r.position for r in sampling.numbered_order(df).collect()}
+        some = {r.url for r in sampling.first_of_order(df, 17).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = sorted((u for u, _, _ in rows), key=lambda u: digest(42, u))
+    assert got == {u: i for i, u in enumerate(want)}
+    assert some == set(want[:17])
+
+
+def test_numbered_order_of_nothing(table):
+    assert sampling.numbered_order(table[1].limit(0)).collect() == []

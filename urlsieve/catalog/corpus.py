@@ -10,7 +10,8 @@ from urlsieve.functions.basic import strip_ws
 from urlsieve.functions.labels import label_a, label_b, label_c
 from urlsieve.functions.urls import with_group, with_normalized
 from urlsieve.operators import audit, consolidate as con, sampling, split
-from urlsieve.session import scratch_path
+from urlsieve.plans.build_master import build_manifest
+from urlsieve.session import materialize, scratch_path
 from urlsieve.sources.corpora import SourceSpec, read_corpora
 from urlsieve.sources.master import read_master, write_master
 
@@ -95,9 +96,9 @@ def harmonize_raw(spark, sf):
 
 
 def surface_audit(spark, sf):
-    rows = con.per_source_rows(R.votes(spark, sf), R.SOURCES)
-    per_source = audit.surface_audit(rows, "source")
-    whole = audit.surface_audit(R.master_table(spark, sf)).withColumn("source", F.lit("master"))
+    merged = R.merged_votes(spark, sf)
+    per_source = audit.surface_audit(con.per_source_rows(merged, R.SOURCES), "source")
+    whole = audit.surface_audit(con.master(merged)).withColumn("source", F.lit("master"))
     return per_source.unionByName(whole)
 
 
@@ -122,12 +123,34 @@ def group_split_exact(spark, sf):
     return split.group_split_exact(R.master_table(spark, sf)).select("url", "group", "split")
 
 
+def augmented(spark, sf):
+    """The augmentation reads the split three times: from one written copy."""
+    return split.augment_bare_domains(materialize(group_split(spark, sf), "split"))
+
+
 def bare_domain_augment(spark, sf):
-    return split.augment_bare_domains(group_split(spark, sf))
+    return augmented(spark, sf)
 
 
 def split_leakage(spark, sf):
-    return split.split_leakage(split.augment_bare_domains(group_split(spark, sf)))
+    return split.split_leakage(augmented(spark, sf))
+
+
+def manifest_rows(spark, sf):
+    """Every number of the manifest: totals, corpora, provenance and the shape audit."""
+    merged = R.merged_votes(spark, sf)
+    manifest = build_manifest(merged, con.master(merged), R.SOURCES, "phishing", "include")
+    rows = [("totals", "", k, v) for k, v in manifest["totals"].items()]
+    for name, own in manifest["per_source"].items():
+        rows += [("per_source", name, k, v) for k, v in (own | own["surface_form"]).items() if k not in ("surface_form", "n_rows")]
+    rows += [("source_dataset", name, "n", n) for name, n in manifest["source_dataset_counts"].items()]
+    rows += [("surface_form", "master", k, v) for k, v in manifest["surface_form_audit"]["master"].items()]
+    numbers = [(s, n, k, float(v)) for s, n, k, v in rows if isinstance(v, (int, float))]
+    return spark.createDataFrame(numbers, "section string, name string, metric string, value double")
+
+
+def numbered_order(spark, sf):
+    return sampling.numbered_order(R.master_table(spark, sf).select("url", "label"))
 
 
 def keep_first(spark, sf):
@@ -180,6 +203,8 @@ QUERIES = {
     "stratified_sample": lambda s, sf: sampling.stratified_sample(R.master_table(s, sf), 100),
     "keep_first": keep_first,
     "seeded_order": seeded_order,
+    "numbered_order": numbered_order,
+    "manifest_rows": manifest_rows,
 }
 
 
@@ -342,4 +367,28 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {S.digest('42',
 FROM clean GROUP BY url""",
     ),
     "seeded_order": _with(S.master(), f"SELECT url, {S.digest('42', 'url')} AS h FROM master"),
+    "numbered_order": _with(
+        S.master(),
+        f"SELECT url, label::TINYINT AS label, row_number() OVER (ORDER BY {S.digest('42', 'url')}, url) - 1 AS position FROM master",
+    ),
+    "manifest_rows": _with(
+        S.master()
+        + f""",
+tot AS (SELECT unique_urls, benign, phishing, unique_registered_domains, cross_corpus_duplicates, label_conflicts,
+  rows_dropped_no_host, round_even(benign * 1.0::DOUBLE / unique_urls, 4) AS benign_pct,
+  round_even(phishing * 1.0::DOUBLE / unique_urls, 4) AS phishing_pct,
+  round_even(unique_urls * 1.0::DOUBLE / unique_registered_domains, 3) AS urls_per_domain FROM
+(SELECT count(*) AS unique_urls, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS phishing,
+  count(DISTINCT "group") AS unique_registered_domains FROM master),
+(SELECT count(*) FILTER (n_sources > 1) AS cross_corpus_duplicates, count(*) FILTER (contested) AS label_conflicts,
+  count(*) FILTER (kept AND "group" = '') AS rows_dropped_no_host FROM merged)),
+per AS (SELECT source, count(*) AS unique_urls, count(*) FILTER (label = 0) AS benign, count(*) FILTER (label = 1) AS phishing,
+  {S.SURFACE} FROM src GROUP BY source),
+whole AS (SELECT {S.SURFACE} FROM master)""",
+        """SELECT 'totals' AS section, '' AS name, metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM tot) ON COLUMNS(*) INTO NAME metric VALUE value)
+UNION ALL SELECT 'per_source', source, metric, value
+FROM (UNPIVOT (SELECT source, COLUMNS(* EXCLUDE (source, n_rows))::DOUBLE FROM per) ON COLUMNS(* EXCLUDE (source)) INTO NAME metric VALUE value)
+UNION ALL SELECT 'source_dataset', source_dataset, 'n', count(*)::DOUBLE FROM master GROUP BY source_dataset
+UNION ALL SELECT 'surface_form', 'master', metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM whole) ON COLUMNS(*) INTO NAME metric VALUE value)""",
+    ),
 }

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from urlsieve.catalog import relations as R
 from urlsieve.catalog import sql as S
-from urlsieve.constants import FEATURE_NAMES, SMOKE_URLS
-from urlsieve.functions.brands import brand_dim, brand_exact, brand_match
+from urlsieve.constants import BRANDS, FEATURE_NAMES, SMOKE_URLS
+from urlsieve.functions.brands import brand_dim, brand_exact, brand_match, near_brands
 from urlsieve.functions.features import extract_features
 from urlsieve.functions.urls import normalize_url, url_parts
 from urlsieve.operators.audit import counterfactual_features
+from urlsieve.operators.sampling import numbered_order
 from urlsieve.operators.vectorize import fit_scaler, scale
 from urlsieve.plans.train import smoke_relation
 from urlsieve.session import scratch_path
@@ -69,6 +70,21 @@ def brand_match_query(spark, sf):
     return brand_match(hosts(spark, sf).distinct(), "host").select("url", "host", "dist", "brand")
 
 
+def brand_table(spark, sf):
+    """The listed brands and, behind them, the first label of every page host and of its look-alikes."""
+    label = F.split_part("host", F.lit("."), F.lit(1))
+    names = hosts(spark, sf).select(label.alias("brand")).filter(F.length("brand") >= 5).distinct()
+    own = names.filter(~F.col("brand").isin(BRANDS))
+    numbered = numbered_order(own, "brand", "brand", "idx").select((F.col("idx") + 1000).cast("int").alias("idx"), "brand")
+    return brand_dim(spark).unionByName(numbered)
+
+
+def near_brands_query(spark, sf):
+    """Look-alikes of a brand table that grows with the tables, by shared deletions."""
+    rows = hosts(spark, sf).distinct()
+    return near_brands(rows, "url", "host", brand_table(spark, sf))
+
+
 def brand_exact_query(spark, sf):
     found = brand_exact(hosts(spark, sf), "url", "host", brand_dim(spark))
     return found.groupBy("brand", "idx").agg(F.count(F.lit(1)).alias("n"))
@@ -130,6 +146,7 @@ QUERIES = {
     "master_features": master_features,
     "brand_exact": brand_exact_query,
     "brand_match": brand_match_query,
+    "near_brands": near_brands_query,
     "standard_scale": standard_scale,
     "smoke_urls_features": smoke_urls_features,
     "counterfactual_scheme": counterfactual_scheme,
@@ -189,6 +206,12 @@ ORACLES = {
     "brand_exact": f"WITH {_URLS}\nSELECT t AS brand, brands.idx::INT AS idx, count(*) AS n FROM urls JOIN "
     "(SELECT DISTINCT url, t FROM tok) k ON k.url = urls.url JOIN brands ON brands.brand = t GROUP BY 1, 2",
     "brand_match": f"WITH {_URLS}\nSELECT url, host, coalesce(d, 10)::INT AS dist, target_brand AS brand FROM ft",
+    "near_brands": f"""WITH {_URLS},
+own AS (SELECT DISTINCT split_part(host, '.', 1) AS brand FROM pt WHERE length(split_part(host, '.', 1)) >= 5),
+dim AS (SELECT idx, brand FROM brands UNION ALL
+  SELECT 1000 + row_number() OVER (ORDER BY {S.digest('brand', 'brand')}, brand) - 1, brand FROM own WHERE brand NOT IN (SELECT brand FROM brands)),
+near AS (SELECT url, levenshtein(t, dim.brand) AS dist, dim.brand AS brand, dim.idx AS idx FROM tok JOIN dim ON levenshtein(t, dim.brand) <= 2)
+SELECT url, dist::INT AS dist, brand, idx::INT AS idx FROM near QUALIFY row_number() OVER (PARTITION BY url ORDER BY dist, idx) = 1""",
     "standard_scale": f"WITH {_PAGE_FT},\nj AS (SELECT page_id, ft.* FROM pg JOIN ft ON pg.url = ft.url),\n"
     f"{_STATS.format(source='j')}\nSELECT page_id, {_scaled('j.')} FROM j, st",
     "smoke_urls_features": f"WITH {_BOTH},\nj AS (SELECT ft.* FROM pg JOIN ft ON pg.url = ft.url),\n"

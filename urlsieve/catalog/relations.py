@@ -16,7 +16,8 @@ from urlsieve.constants import BRANDS, TLD_RISK
 from urlsieve.functions.basic import md5_bucket
 from urlsieve.functions.labels import label_a, label_b, label_c
 from urlsieve.functions.urls import with_group, with_normalized
-from urlsieve.operators.consolidate import consolidate, corpus_votes, normalized_rows, master
+from urlsieve.operators.consolidate import consolidate, corpus_votes, master, merge_votes, normalized_rows
+from urlsieve.session import materialize
 from urlsieve.sources.corpora import apply_label
 
 SPAM = "cheap-pills|casino-win|free-bets|adult-x|spam-farm"
@@ -94,6 +95,11 @@ def votes(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_votes(normalized_rows(raw_rows(spark, sf)), SOURCES)
 
 
+def merged_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged urls with the votes of every corpus, written once: corpora and master both follow from it."""
+    return materialize(merge_votes(votes(spark, sf), SOURCES, "phishing", keep_votes=True), "merged")
+
+
 def merged(spark: SparkSession, sf: str, **policies) -> DataFrame:
     return consolidate(raw_rows(spark, sf), SOURCES, **policies)
 

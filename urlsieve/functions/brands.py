@@ -92,6 +92,41 @@ def brand_match(
     ).drop("_code")
 
 
+def deletions(word: Column, most: int = LENGTH_BAND) -> Column:
+    """A word and all it becomes when up to ``most`` letters are left out, each once."""
+    kept = F.array(word)
+    for _ in range(most):
+        shorter = F.flatten(F.transform(kept, lambda w: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))),
+            lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))),
+        )))
+        kept = F.array_distinct(F.concat(kept, shorter))
+    return kept
+
+
+def near_brands(df: DataFrame, key: str, host: str, brands: DataFrame, most: int = LENGTH_BAND) -> DataFrame:
+    """``(key, dist, brand, idx)``: the nearest brand of each row whose host has a word within ``most`` edits of one.
+
+    For a brand table ``(idx, brand)`` of any size. Two words within ``most`` edits of each other
+    share a word that either becomes by leaving out up to ``most`` letters; so both sides
+    list those and meet by equality, and only pairs that share one are measured. Words are
+    compared once however many hosts hold them, and joined back by the word. The smaller
+    ``idx`` wins ties. Rows without such a word are left out.
+    """
+    held = df.select(key, F.explode(F.array_distinct(host_tokens(F.col(host)))).alias("_word"))
+    # a longer word is further from every brand
+    longest = (brands.agg(F.max(F.length("brand"))).first()[0] or 0) + most
+    held = held.filter(F.length("_word") <= longest)
+    words = held.select("_word").distinct()
+    left = words.select("_word", F.explode(deletions(F.col("_word"), most)).alias("_part"))
+    right = brands.select("idx", "brand", F.explode(deletions(F.col("brand"), most)).alias("_part"))
+    pairs = left.join(right, "_part").select("_word", "idx", "brand").distinct()
+    far = F.levenshtein("_word", "brand")
+    best = pairs.withColumn("dist", far).filter(F.col("dist") <= most).groupBy("_word").agg(F.min(F.struct("dist", "idx", "brand")).alias("_best"))
+    found = held.join(best, "_word").groupBy(key).agg(F.min("_best").alias("_best"))
+    return found.select(key, "_best.dist", "_best.brand", "_best.idx")
+
+
 def brand_exact(df: DataFrame, key: str, host: str, brands: DataFrame) -> DataFrame:
     """Rows (key, brand) whose host holds the brand as a word: a broadcast equi-join.
 

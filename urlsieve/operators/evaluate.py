@@ -12,6 +12,7 @@ from urlsieve.constants import (
     BLEND_CHAMPION, BLEND_SERVING, DEFAULT_THRESHOLD, MAX_FPR,
 )
 from urlsieve.functions.basic import as_col, round4, safe_ratio
+from urlsieve.session import materialize
 
 # The published grid: 50 floats from 0.30 in steps of 0.01.
 THRESHOLDS = [float(t) for t in np.arange(0.30, 0.80, 0.01)]
@@ -58,20 +59,41 @@ def metric_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def confusion(df: DataFrame, y: str, p: str, threshold=DEFAULT_THRESHOLD, by: str | None = None) -> DataFrame:
-    """One row of METRICS per group; ``threshold`` is a number or a column that is
-    constant within a group."""
-    t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    hit, pos = F.col(p) >= t, F.col(y) == 1
-    keys = [by] if by else []
-    counts = df.groupBy(*keys).agg(
-        F.max(t).alias("threshold"),
-        F.count_if(hit & pos).alias("tp"),
-        F.count_if(hit & ~pos).alias("fp"),
-        F.count_if(~hit & ~pos).alias("tn"),
-        F.count_if(~hit & pos).alias("fn"),
+def score_counts(df: DataFrame, y: str, p: str, threshold=DEFAULT_THRESHOLD, by: str | None = None) -> DataFrame:
+    """``(_g, _p, _pos, _neg, _cut)``: rows folded to the distinct scores of each group.
+
+    Everything that is asked of scores follows from these counts. They add up, so tables of
+    them can be merged; copies of a score fold on the map side. ``threshold`` is a number or a
+    column that is constant within a group.
+    """
+    cut = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    group = F.col(by) if by else F.lit(0)
+    return df.groupBy(group.alias("_g"), F.col(p).cast("double").alias("_p")).agg(
+        F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"), F.max(cut).alias("_cut")
+    )
+
+
+def counted_confusion(counts: DataFrame) -> DataFrame:
+    """``(_g, METRICS)`` of ``score_counts`` at the cut of each group."""
+
+    def total(name: str, cond: Column) -> Column:
+        return F.sum(F.when(cond, F.col(name)).otherwise(F.lit(0)))
+
+    hit = F.col("_p") >= F.col("_cut")
+    cells = counts.groupBy("_g").agg(
+        F.max("_cut").alias("threshold"),
+        total("_pos", hit).alias("tp"),
+        total("_neg", hit).alias("fp"),
+        total("_neg", ~hit).alias("tn"),
+        total("_pos", ~hit).alias("fn"),
     )
-    return metric_columns(counts).select(*keys, *METRICS)
+    return metric_columns(cells).select("_g", *METRICS)
+
+
+def confusion(df: DataFrame, y: str, p: str, threshold=DEFAULT_THRESHOLD, by: str | None = None) -> DataFrame:
+    """One row of METRICS per group."""
+    found = counted_confusion(score_counts(df, y, p, threshold, by))
+    return found.withColumnRenamed("_g", by) if by else found.drop("_g")
 
 
 def count_at_most(bounds: Column, size: int, value: Column) -> Column:
@@ -85,21 +107,17 @@ def count_at_most(bounds: Column, size: int, value: Column) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), probe)
 
 
-def roc_auc(df: DataFrame, y: str, p: str, by: str | None = None, bins: int = AUC_BINS) -> DataFrame:
-    """Exact, tie-aware area under the ROC curve; 0.0 when a class is missing.
+def counted_area(counts: DataFrame, bins: int = AUC_BINS) -> DataFrame:
+    """``(_g, roc_auc)`` of ``score_counts``: exact, tie-aware; 0.0 when a class is missing.
 
-    Rows fold to distinct scores first. Approximate quantiles cut these into bins of
+    Approximate quantiles cut the distinct scores into bins of
     even size; a bin ranks its own scores and a running sum over at most ``bins`` rows
     adds what lies below it. Any cut gives the exact area, so the quantiles only
     balance the work.
     """
-    df = df.withColumn("_g", F.col(by) if by else F.lit(0))
-    scores = df.groupBy("_g", F.col(p).cast("double").alias("_p")).agg(
-        F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg")
-    )
     marks = [i / bins for i in range(1, bins)]
-    bounds = scores.groupBy("_g").agg(F.percentile_approx("_p", marks, 10 * bins).alias("_b"))
-    binned = scores.join(F.broadcast(bounds), "_g").withColumn(
+    bounds = counts.groupBy("_g").agg(F.percentile_approx("_p", marks, 10 * bins).alias("_b"))
+    binned = counts.join(F.broadcast(bounds), "_g").withColumn(
         "_bin", count_at_most(F.col("_b"), bins - 1, F.col("_p"))
     )
     below = F.sum("_neg").over(
@@ -118,16 +136,20 @@ def roc_auc(df: DataFrame, y: str, p: str, by: str | None = None, bins: int = AU
         F.sum(F.col("_u") + F.col("_pos") * F.col("_low")).alias("_u"),
         (F.sum("_pos").cast("double") * F.sum("_neg").cast("double")).alias("_pairs"),
     )
-    keys = [F.col("_g").alias(by)] if by else []
-    return area.select(*keys, round4(safe_ratio(F.col("_u"), F.col("_pairs"))).alias("roc_auc"))
+    return area.select("_g", round4(safe_ratio(F.col("_u"), F.col("_pairs"))).alias("roc_auc"))
+
+
+def roc_auc(df: DataFrame, y: str, p: str, by: str | None = None, bins: int = AUC_BINS) -> DataFrame:
+    """Exact, tie-aware area under the ROC curve per group."""
+    found = counted_area(score_counts(df, y, p, by=by), bins)
+    return found.withColumnRenamed("_g", by) if by else found.drop("_g")
 
 
 def evaluate(df: DataFrame, y: str, p: str, threshold=DEFAULT_THRESHOLD, by: str | None = None) -> DataFrame:
-    """Confusion metrics and ROC-AUC per group."""
-    g = by or "_one"
-    base = df if by else df.withColumn("_one", F.lit(0))
-    out = confusion(base, y, p, threshold, g).join(roc_auc(base, y, p, g), g)
-    return out if by else out.drop("_one")
+    """Confusion metrics and ROC-AUC per group, both from one written table of counts."""
+    counts = materialize(score_counts(df, y, p, threshold, by), "score-counts")
+    found = counted_confusion(counts).join(counted_area(counts), "_g")
+    return found.withColumnRenamed("_g", by) if by else found.drop("_g")
 
 
 def threshold_sweep(df: DataFrame, y: str, p: str, by: str | None = None, grid: list[float] | None = None) -> DataFrame:

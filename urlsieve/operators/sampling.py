@@ -85,6 +85,30 @@ def seeded_order(df: DataFrame, key: str = "url", seed=42) -> DataFrame:
     return df.withColumn("_h", row_hash(seed, key)).orderBy("_h", key).drop("_h")
 
 
+def numbered_order(df: DataFrame, key: str = "url", seed=42, out: str = "position") -> DataFrame:
+    """The same order with the number of every row in it, from 0.
+
+    Range partitions are written with a number of their own for each row; one count per
+    partition then says where it begins. No task sees more than its partition.
+    """
+    ranged = df.withColumn("_h", row_hash(seed, key)).repartitionByRange("_h", key).sortWithinPartitions("_h", key)
+    # the high bits are the partition, the low 33 bits the place in it
+    placed = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33).cast("int")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row per partition of the write
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.select(*df.columns, (F.col("_start") + place).alias(out))
+
+
+def first_of_order(df: DataFrame, n: int, key: str = "url", seed=42) -> DataFrame:
+    """``n`` rows in random order as a cut of it; all if there are no more."""
+    return numbered_order(df, key, seed, "_position").filter(F.col("_position") < n).drop("_position")
+
+
 def keep_first(df: DataFrame, key: str, priority: str) -> DataFrame:
     """One row per key, the one of lowest priority.
 
