@@ -14,7 +14,8 @@ M the largest norm, which makes all norms equal and does not change products wit
 Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do those
 whose length is not the most frequent one (the longer of two). Null ids neither. Of rows with an
 id and vector in common one counts; an id with two vectors stands for both. An empty table,
-or one without queries, gives an empty result. Ties go to the smaller id.
+or one without queries, gives an empty result. Ties go to the smaller id. Vectors may be of any
+length as long as those of a shard fit into a task. Only id and vector are read, so that other columns can't clash.
 """
 
 from __future__ import annotations
@@ -189,7 +190,7 @@ def build_index(points: DataFrame, shards: int, norm: float, width: int, breadth
             yield done()
 
     dealt = points.select(F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"), "uid", "embedding")
-    return dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "uid").mapInArrow(run, INDEX)
+    return dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "uid").mapInArrow(run, INDEX)
 
 
 INDEX_SCHEMA = pa.schema([
@@ -219,7 +220,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, norm: float,
     """``(query_id, uid, score)``: the ``k + 1`` best points of every shard for each query."""
     everywhere = pack(queries).drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     both = index.unionByName(everywhere.select(*index.columns))
-    sorted_ = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind", "block")
+    sorted_ = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "block")
 
     def run(source):
         graph = ids = original = now = None
