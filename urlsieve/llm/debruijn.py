@@ -17,7 +17,7 @@ Removal takes every word that an edge covers whose source is not itself.
 
 Nulls are empty texts. A null id comes before all others. Rows equal in id and text are one
 document and each is returned; texts under one id are ordered by their hash. Texts of fewer
-than ``k`` words lose nothing. An empty table gives an empty result. Only the id and the text column are
+than ``k`` words lose nothing, those of any length are cut whole. An empty table gives an empty result. Only the id and the text column are
 read, so that other columns can't clash.
 """
 

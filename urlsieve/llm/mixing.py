@@ -13,7 +13,7 @@ What the driver holds is one row per source. Streams are numbered by range parti
 one sum per partition and source, so a source with most of all rows is spread over tasks.
 
 Nulls: a null text has no words, a null source is a source of its own and comes last, a null
-id comes first. Rows equal in id and text stand next to each other in their stream, which of
+id comes first. Texts of any length are packed whole. Rows equal in id and text stand next to each other in their stream, which of
 them comes first does not matter. An empty table, or one without words, gives every row
 ``taken`` 0. Only id, text and source are read, besides columns named in ``carry``.
 """

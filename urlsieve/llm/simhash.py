@@ -16,7 +16,8 @@ components are wanted. Documents of a fingerprint are never paired; they meet by
 
 Nulls and texts without words have fingerprint zero. A null id is no candidate for the
 smallest id of a group; a group of null ids only has a null ``component_id``. Equal rows
-give equal rows. An empty table gives an empty result. Only id and text columns are read.
+give equal rows. Texts of any length are hashed whole. An empty table gives an empty result.
+Only id and text columns are read; ``keep_first`` carries the others, whatever their names.
 """
 
 from __future__ import annotations

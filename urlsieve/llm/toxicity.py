@@ -18,7 +18,7 @@ logistic curve, fitted on a fold of its own, turns into a probability.
 
 Nulls are empty texts; these score as any text without evidence. Labels other than 0 and 1
 and labels of unknown documents are left out; of several labels for one id the largest
-counts. Without labels of both kinds nothing is toxic and all scores are 0. Equal texts get
+counts. Texts of any length are scanned whole. Without labels of both kinds nothing is toxic and all scores are 0. Equal texts get
 equal scores. Only id and text are read, further columns pass through unchanged.
 """
 
