@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.operators.evaluate import roc_auc
-from urlsieve.session import materialize
+from urlsieve.session import materialize, reachable
 
 PACKED = "n int, label binary, sizes binary, indices binary, x binary"
 _PACKED = pa.schema([("n", pa.int32()), ("label", pa.binary()), ("sizes", pa.binary()), ("indices", pa.binary()), ("x", pa.binary())])
@@ -64,6 +64,7 @@ def pack_rows(df: DataFrame, block_rows: int) -> DataFrame:
             "indices": own.indices.astype(np.int32).tobytes(), "x": own.x.astype(np.float64).tobytes(),
         }], _PACKED)
 
+    reachable(df.sparkSession)
     parts = max(1, -(-df.count() // block_rows))
     dealt = df.select("label", "key", "indices", "values").repartition(parts, "key").sortWithinPartitions("key")
     return materialize(dealt.mapInArrow(run, PACKED), "packed")

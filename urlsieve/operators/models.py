@@ -19,7 +19,7 @@ from urlsieve.operators.boosting import BoostConfig, Boosted, fit_boosted
 from urlsieve.operators.epochs import Fitted, Linear, LinearConfig, NetworkConfig, fit_linear, fit_network
 from urlsieve.operators.evaluate import with_blends
 from urlsieve.operators.vectorize import VOCABULARY_SIZE, fit_scaler, scale, vocabulary, weighted_terms
-from urlsieve.session import materialize
+from urlsieve.session import materialize, reachable
 from urlsieve.sources.master import read_json, write_json
 
 
@@ -89,7 +89,8 @@ def vectorize(df: DataFrame, vec: Vectorizer) -> DataFrame:
 
 
 def with_tab(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
-    """Add ``tab``, the 30 scaled features."""
+    """Add ``tab``, the 30 scaled features; what follows may ask a model in Python for its score."""
+    reachable(df.sparkSession)
     scaled = scale(extract_features(df, meta=None), stats)
     return scaled.select(*df.columns, F.array(*[F.col(n).cast("double") for n in FEATURE_NAMES]).alias("tab"))
 
