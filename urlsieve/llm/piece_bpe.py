@@ -32,8 +32,8 @@ from sentencepiece import sentencepiece_model_pb2
 from urlsieve.llm.store import parts, table, tidy
 
 MARK = "▁"
-MEMORY = 16 << 20
-PAIRS = 100_000
+MEMORY = 96 << 20
+PAIRS = 200_000
 LONG = 512
 #: bytes of a dictionary's place for one entry
 ENTRY = 100
