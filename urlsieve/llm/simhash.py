@@ -39,6 +39,8 @@ from urlsieve.llm.text import mix
 SEGMENTS = 8
 RUN = 1024
 SHORT = 16
+#: sets of fewer shingles have views of two
+FEW = 16
 BINS = 64
 NO_ID = 2**63 - 1
 TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -210,8 +212,21 @@ def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id",
     )
 
 
+def view_keys(known: np.ndarray, seeds: np.ndarray, sample: int) -> np.ndarray:
+    """A key for each seed: hash of the ``sample`` members that come first in the seed's order."""
+    out = []
+    step = max(1, (1 << 20) // len(known))
+    for a in range(0, len(seeds), step):
+        order = mix(known[None, :] ^ seeds[a : a + step, None])
+        if order.shape[1] > sample:
+            order = np.partition(order, sample - 1, axis=1)[:, :sample]
+        order.sort(axis=1)
+        out += [xxhash.xxh64_intdigest(row.tobytes(), 1000 * sample + a + v) for v, row in enumerate(order)]
+    return np.array(out, np.uint64).view(np.int64)
+
+
 def near_groups(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 8, sample: int = 2,
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, views: int = 20, sample: int = 4,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``(id, t, first_id, first_t)``: documents and the first document of the group of each.
@@ -219,8 +234,10 @@ def near_groups(
     Documents are linked if the Jaccard similarity of their sets of ``width``-word shingles is
     at least ``similarity``. At 0.8 two whole-text fingerprints differ in about ten bits,
     which no index prunes; so the keys are ``views`` further SimHashes, each over the
-    ``sample`` shingles that come first in an order of its own: a view of two shingles agrees
-    with probability 0.8^2, one of eight views with 0.9997. Candidates that share a view are
+    ``sample`` shingles that come first in an order of its own: a view of four shingles agrees
+    with probability 0.8^4, one of twenty views with 0.99997, while texts that share a passage but
+    little else hardly ever agree in four. Sets of fewer than ``FEW`` shingles have views of two;
+    sets of a size between have both kinds, so that any two that are similar share a kind. Candidates that share a view are
     compared by their whole shingle sets, see ``near_components``; bin counts of the sets only
     spare pairs that cannot be similar. Documents with the same words are one node.
 
@@ -229,6 +246,7 @@ def near_groups(
 
     def signatures(source):
         seeds = mix(np.arange(1, views + 1, dtype=np.uint64))
+        high = int(FEW / similarity) + 2
         for batch in parts(source, "text"):
             size, bins, digest, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -238,12 +256,8 @@ def near_groups(
                 known = np.unique(hashes)
                 size.append(len(known))
                 bins.append(bin_counts(known))
-                view = []
-                for v, seed in enumerate(seeds if len(known) else ()):
-                    order = mix(known ^ seed)
-                    taken = np.sort(order if len(order) <= sample else np.partition(order, sample - 1)[:sample])
-                    view.append(xxhash.xxh64_intdigest(taken.tobytes(), v))
-                keys.append(np.array(view, np.uint64).view(np.int64))
+                kinds = [k for k, fits in ((2, 0 < len(known) < high), (sample, len(known) >= FEW)) if fits]
+                keys.append(np.concatenate([np.empty(0, np.int64), *(view_keys(known, seeds, k) for k in kinds)]))
             yield table(["id", "t", "words", "size", "bins", "keys"], [
                 batch.column("id"), batch.column("t"), pa.array(digest, pa.string()),
                 pa.array(size, pa.int64()), pa.array(bins, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
