@@ -38,6 +38,7 @@ FLOOR = [0.5, 0.05, 0.03, 0.15, 0.1]
 GROUP = ["g_lang", "g_source"]
 ESTIMATE = "g_lang string, g_source string, start int, centre array<double>, precision array<double>, logdet double"
 BROADCAST_ROWS = 20_000
+FEW_TASKS = 4
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 RUN = 5
@@ -125,6 +126,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def gathered(df: DataFrame, like: DataFrame) -> DataFrame:
+    """A result of a row per group in a few tasks where ``like`` has few groups: a task each for a row or none is slow."""
+    return df.coalesce(FEW_TASKS) if like.count() <= BROADCAST_ROWS else df
+
+
 def medians(rows: DataFrame) -> DataFrame:
     """Medians and median deviations of every group as a first estimate."""
     middle = staged(rows.groupBy(*GROUP).agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m_{x}") for x in STATS)), "mcd-medians")
@@ -141,7 +147,7 @@ def medians(rows: DataFrame) -> DataFrame:
             out["precision"] = [precision_of(np.diag(np.square(1.4826 * r)))[0] for r in pdf[[f"d_{x}" for x in STATS]].to_numpy(float)]
             yield out.assign(logdet=np.inf)
 
-    return spread.mapInPandas(run, ESTIMATE)
+    return gathered(spread, middle).mapInPandas(run, ESTIMATE)
 
 
 def step(rows: DataFrame, estimate: DataFrame, coverage: float | None, scale: float) -> DataFrame:
@@ -150,7 +156,7 @@ def step(rows: DataFrame, estimate: DataFrame, coverage: float | None, scale: fl
     near = rows.join(small(estimate), GROUP)
     if coverage is not None:
         near = near.withColumn("d2", distance())
-        cut = staged(near.groupBy(*keys).agg(F.percentile_approx("d2", coverage, 1000).alias("cut")), "mcd-cut")
+        cut = staged(gathered(near.groupBy(*keys).agg(F.percentile_approx("d2", coverage, 1000).alias("cut")), estimate), "mcd-cut")
         near = near.join(small(cut), keys).filter("d2 <= cut")
     shifted = [F.col(x) - F.col("centre")[i] for i, x in enumerate(STATS)]  # sums around the old centre keep their digits
     moments = near.groupBy(*keys).agg(
@@ -171,7 +177,7 @@ def step(rows: DataFrame, estimate: DataFrame, coverage: float | None, scale: fl
                 out[name] = pd.Series(values, index=out.index, dtype=object)
             yield out.assign(logdet=[f[1] for f in found])
 
-    return moments.mapInPandas(run, ESTIMATE)
+    return gathered(moments, estimate).mapInPandas(run, ESTIMATE)
 
 
 def consistency(coverage: float) -> float:
@@ -193,11 +199,11 @@ def concentrate(rows: DataFrame, coverage: float, most: int) -> DataFrame:
     for _ in range(most):
         new = step(rows, now, coverage, scale)
         both = new.select(*GROUP, "start", F.struct("logdet", "centre", "precision").alias("new")).join(
-            now.select(*GROUP, "start", F.struct("logdet", "centre", "precision").alias("old")), [*GROUP, "start"]
+            small(now).select(*GROUP, "start", F.struct("logdet", "centre", "precision").alias("old")), [*GROUP, "start"]
         )
         falls = F.col("new.logdet") < F.col("old.logdet") - 1e-9
         chosen = both.select(*GROUP, "start", falls.alias("falls"), F.when(falls, F.col("new")).otherwise(F.col("old")).alias("one"))
-        now = staged(chosen.select(*GROUP, "start", "falls", "one.centre", "one.precision", "one.logdet"), "mcd-step")
+        now = staged(gathered(chosen.select(*GROUP, "start", "falls", "one.centre", "one.precision", "one.logdet"), now), "mcd-step")
         if now.filter("falls").isEmpty():
             break
         now = now.drop("falls")
