@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from urlsieve.llm.debruijn import drop_repeats
 from urlsieve.llm.mixing import mixed_documents
 from urlsieve.llm.piece_bpe import encode_pieces
-from urlsieve.llm.simhash import keep_first
+from urlsieve.llm.simhash import keep_first, simhash_groups
 from urlsieve.llm.store import reachable, staged
 from urlsieve.llm.toxicity import fit, score
 
@@ -34,9 +34,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five words, similarity 0.8), unchanged."""
+    """The first document of each component of fingerprints linked at 3 or fewer bits, as in operator 3, unchanged."""
     reachable(spark)
-    return keep_first(docs)
+    return keep_first(docs, groups=simhash_groups)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

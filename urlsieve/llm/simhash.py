@@ -168,16 +168,16 @@ def linked(keyed: DataFrame, limit: int) -> DataFrame:
     return sorted_.select("run", "leader", "fp").mapInArrow(run, "a long, b long")
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of every row; ``fp`` holds the 64 bits as a long."""
+def fingerprints(rows: DataFrame, width: int = 3) -> DataFrame:
+    """The columns of ``rows`` (longs) with ``fp``, the 64 bits as a long, in the place of ``text``."""
+    keys = [c for c in rows.columns if c != "text"]
 
     def run(source):
         for batch in parts(source, "text"):
             fps = [fingerprint(shingle_hashes((t or "").encode(), width)) for t in batch.column("text").to_pylist()]
-            yield table(["doc_id", "fp"], [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))])
+            yield table([*keys, "fp"], [*(batch.column(c) for c in keys), pa.array(np.array(fps, np.uint64).view(np.int64))])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in (*keys, "fp")))
 
 
 def with_ring_keys(leaders: DataFrame) -> DataFrame:
@@ -197,19 +197,31 @@ def with_ring_keys(leaders: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row: groups linked by 3 or fewer differing bits."""
-    fps = staged(fingerprints(docs, width, id_col, text_col), "simhash-fps")
-    leaders = staged(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-leaders")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    fps = staged(fingerprints(rows, width), "simhash-fps")
+    return fps.join(least_of_components(fps, F.coalesce("doc_id", F.lit(NO_ID))), "fp").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(F.col("least") != NO_ID, F.col("least")).alias("component_id"),
+    )
+
+
+def least_of_components(fps: DataFrame, order: Column) -> DataFrame:
+    """``(fp, least)`` of every distinct fingerprint: the least ``order`` among the rows of its component."""
+    leaders = staged(fps.groupBy("fp").agg(F.min(order).alias("first")), "simhash-leaders")
     # distinct fingerprints name the nodes; their smallest ids come in afterwards, null ids included
     named = leaders.select(F.col("fp").alias("leader"), "fp", "first")
     roots = components(linked(with_ring_keys(named), 3))
     placed = named.join(roots, F.col("leader") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component"))
-    wide = staged(placed.join(least, "root").select("fp", "component"), "simhash-groups")
-    return fps.join(wide, "fp").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
-    )
+    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    return staged(placed.join(least, "root").select("fp", "least"), "simhash-groups")
+
+
+def simhash_groups(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, t, first_id, first_t)``: documents and the first document of the component of each, as ``near_groups`` names them."""
+    fps = staged(fingerprints(docs.select(*keyed(id_col, text_col)), width), "simhash-fps")
+    tops = least_of_components(fps, F.struct("id", "t"))
+    return fps.join(tops, "fp").select("id", "t", F.col("least.id").alias("first_id"), F.col("least.t").alias("first_t"))
 
 
 def view_keys(known: np.ndarray, seeds: np.ndarray, sample: int) -> np.ndarray:
@@ -366,15 +378,17 @@ def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.select("leader", "text").mapInArrow(run, "leader long, shingles array<long>").dropDuplicates(["leader"])
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The first document of every group, one row each, columns unchanged.
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] | None = None, **how
+) -> DataFrame:
+    """The first document of every group of ``groups`` (``near_groups``), one row each, columns unchanged.
 
     First is the smallest id, then the smallest text hash; of rows equal in id and text the
     first by the other columns, in their order, stays.
     """
     names = docs.columns
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **how)
-    first = groups.select(F.col("first_id").alias("__id"), F.col("first_t").alias("__t")).distinct()
+    found = (groups or near_groups)(docs, id_col=id_col, text_col=text_col, **how)
+    first = found.select(F.col("first_id").alias("__id"), F.col("first_t").alias("__t")).distinct()
     own_id, own_t, _ = keyed(id_col, text_col)
     rows = docs.withColumn("__id", own_id).withColumn("__t", own_t)
     # not a window: rows of one id and text fold before they are shuffled
