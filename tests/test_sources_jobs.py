@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from urlsieve.catalog import relations as R
 from urlsieve.functions.labels import label_a, label_b, label_c
 from urlsieve.operators.models import ModelConfig, load_models, score
@@ -189,6 +190,15 @@ def test_stream_equals_batch(spark, sf):
     assert got.exceptAll(batch).isEmpty() and batch.exceptAll(got).isEmpty()
 
 
+def test_stream_of_a_table_folder_has_all_its_files(spark, sf, tmp_path):
+    pages = R.pages(spark, sf)
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    for query in (queries()["stream_features"], queries()["given_stream"]):
+        got = query(spark, str(tmp_path)).select("page_id", F.col("raw_url").alias("url"))
+        want = pages.select("page_id", "url")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_stream_scores(spark, sf, trained):
     models = load_models(spark, f"{trained[0]}/run/models")
     pages = R.pages(spark, sf)
