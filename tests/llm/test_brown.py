@@ -68,3 +68,31 @@ def test_exchange_finds_alternating_classes():
         pairs[b, rng.choice(sides[0])] += 1
     of = brown.exchange(pairs, 3, 10)
     assert len(set(of[:10])) == 1 and len(set(of[10:20])) == 1 and of[0] != of[10] and of[20] == 2
+
+
+def test_words_of_one_ending_part_by_their_neighbours(spark):
+    words = {"a": [f"a{k}zzz" for k in range(20)], "b": [f"b{k}zzz" for k in range(20)]}
+    rows = [(f"the {a} of {b} the {words['a'][0]} of {words['b'][0]} the",) for a in words["a"] for b in words["b"]]
+    docs = spark.createDataFrame(rows, "text string").repartition(3)
+    model, counts = brown.train(docs, classes=6, words=4, endings=1, top=10)
+    found = {r.word: r["class"] for r in brown.word_classes(model, counts).collect()}
+    a, b = ({found[w] for w in words[k]} for k in "ab")
+    assert len(a) == len(b) == 1 and a != b
+
+
+def test_score_follows_from_classes_and_counts(spark, odd_docs, odd_rows):
+    model, counts = brown.train(odd_docs.select("text"), classes=8, words=20, endings=7, top=50)
+    of = {r.word.encode(): (r["class"], r.c) for r in counts.collect()} | {b"\n": (7, len(odd_rows))}
+    want = []
+    for i, t, _, _ in odd_rows:
+        line = [of[w] for w in tokens(t)]
+        before = [7, *(k for k, _ in line[:-1])]
+        want.append((str(i), round(sum(model.step[x, k] - model.size[k] + math.log10(c + 0.5) for x, (k, c) in zip(before, line, strict=True)), 6)))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in brown.score(odd_docs, model, counts).collect()) == sorted(want)
+    grid = np.zeros((8, 8))
+    for _, t, _, _ in odd_rows:
+        line = [7, *(of[w][0] for w in tokens(t))]
+        for x, y in zip(line[:-1], line[1:], strict=True):
+            grid[x, y] += 1
+    share = (grid.sum(axis=0) + 1) / (grid.sum() + 8)
+    assert np.allclose(10**model.step, (grid + 2 * share) / (grid.sum(axis=1, keepdims=True) + 2))

@@ -10,10 +10,15 @@ training fold gives, with every training text counted:
 * classes: exchange clustering moves one type after the other to the class that raises the
   likelihood of the class bigrams most, until a sweep moves none or ``sweeps`` are done. The
   end of a text is a class of its own, and the context of the first word;
-* class transitions (interpolated with the class frequencies) and class sizes.
+* a class for each other word that training has twice or more, however many there are: a table of its
+  neighbours' classes is counted, and by it the word leaves its ending's class for the one that
+  raises the likelihood most, all words at once against the same grid of class bigrams. Words seen
+  once and unseen ones keep the class of their ending;
+* class transitions (interpolated with the class frequencies) and class sizes, counted anew
+  with the classes of all words.
 
-Scoring adds up class terms and the counts of the ``top`` most frequent words from a bounded
-broadcast table; the counts of all other words come from a join with the table of words.
+Classes and counts of the ``top`` most frequent words are a bounded broadcast table; those of
+all other words come from a join with the table of words, a byte a token being filled in.
 
 A null text is empty and has one token, its end. A null id is in the fold of the empty
 string. Repeated rows are scored alike and train as often as they stand. Without training
@@ -27,11 +32,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.llm.store import parts, staged, table
-from urlsieve.llm.text import LOWER, cut_words, distinct, spans, utf8, word_hashes
+from urlsieve.llm.text import LOWER, cut_words, distinct, owners, spans, utf8, word_hashes
 
 TAIL = 3
 
@@ -52,6 +58,7 @@ class Brown:
     distinct: int
     texts: int
     least: int = 0  # no word beyond the frequent ones counts more
+    own: np.ndarray | None = None  # class of each of the most frequent words
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each word in the table of frequent words, -1 beyond it."""
@@ -66,6 +73,11 @@ class Brown:
         own = self.rank[at] if len(self.rank) else np.zeros(len(at), np.int64)
         return np.where((at >= 0) & (own < self.words), own, self.words + tail.astype(np.int64))
 
+    def classes_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Classes of the frequent words, and of all others by their ending."""
+        by_type = self.classes[self.types(data, starts, ends, at)]
+        return by_type if self.own is None or not len(self.own) else np.where(at >= 0, self.own[at], by_type)
+
     @property
     def end(self) -> int:
         return self.words + self.endings
@@ -118,12 +130,12 @@ def type_bigrams(rows: DataFrame, model: Brown) -> np.ndarray:
     return out.reshape(many, many)
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
-    """Class of each type; the last type keeps the last class for itself."""
+def phi(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
 
-    def phi(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
 
+def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+    """Class of each type; the last type keeps the last class for itself."""
     many, last = len(pairs), classes - 1
     pairs = pairs.astype(float)
     often = np.argsort(-(pairs.sum(axis=0) + pairs.sum(axis=1))[:-1], kind="stable")
@@ -174,10 +186,150 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+def neighbours(rows: DataFrame, model: Brown, classes: int) -> DataFrame:
+    """``(word, c, side, n)`` of the words beyond the clustered types that training has twice or more.
+
+    ``side``: the class behind a word, and ``classes`` + the class before it; ``n``: how often.
+    """
+
+    def run(source):
+        for batch in parts(source, "text"):
+            data, s, e, first = lowered(batch)
+            hashes = word_hashes(data, s, e)
+            types = model.types(data, s, e, model.places(hashes))
+            line, _ = with_ends(model.classes[types], first, model.classes[-1])
+            some = np.flatnonzero(types >= model.words)
+            if not len(some):
+                continue
+            values, code = distinct(hashes[some])
+            at = some + owners(first)[some]  # an end stands behind each text before it, and before the first text
+            side = np.concatenate([line[at + 1], classes + line[at - 1]])
+            pair, n = np.unique(np.tile(code.astype(np.int64), 2) * 2 * classes + side, return_counts=True)
+            one = np.zeros(len(values), np.int64)
+            one[code] = some
+            words = cut_words(data, s[one], e[one]).cast(pa.string()).take(pa.array(pair // (2 * classes)))
+            yield table(["word", "side", "n"], [words, pa.array((pair % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))])
+
+    found = rows.select("text").mapInArrow(run, "word string, side int, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
+    met = found.groupBy("word").agg(
+        F.sum(F.when(F.col("side") < classes, F.col("n"))).alias("c"), F.collect_list("side").alias("side"), F.collect_list("n").alias("n")
+    )
+    return met.filter("c > 1")
+
+
+def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
+    """``(word, class)``: each word's best class by its ``neighbours`` and the class bigrams ``grid``.
+
+    A word's counts are taken out of its present class; all other words stay where they are.
+    """
+    classes = len(grid)
+    cells = np.concatenate([grid.T, grid]).astype(float)
+    totals = grid.sum(axis=1).astype(float), grid.sum(axis=0).astype(float)
+
+    def run(source):
+        for whole in source:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                data, offs = utf8(batch.column("word"))
+                now = model.classes[model.types(data, offs[:-1], offs[1:], model.places(word_hashes(data, offs[:-1], offs[1:])))]
+                sizes = pc.list_value_length(batch.column("side")).to_numpy()
+                side, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("side", "n"))
+                row, n = np.repeat(np.arange(len(sizes)), sizes), n.astype(float)
+                without = cells[side]
+                place = np.arange(len(side)), now[row]
+                without[place] = np.maximum(without[place] - n, 0)
+                gain = np.add.reduceat(phi(without + n[:, None]) - phi(without), np.cumsum(sizes) - sizes)
+                for total, behind in zip(totals, (True, False), strict=True):
+                    own = np.bincount(row, np.where((side < classes) == behind, n, 0), len(sizes))[:, None]
+                    left = np.tile(total, (len(sizes), 1))
+                    left[np.arange(len(sizes)), now] = np.maximum(left[np.arange(len(sizes)), now] - own[:, 0], 0)
+                    gain -= phi(left + own) - phi(left)
+                gain[:, -1] = -np.inf
+                best = gain.argmax(axis=1)
+                at = np.arange(len(sizes))
+                best = np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
+                yield table(["word", "class"], [batch.column("word"), pa.array(best.astype(np.int32))])
+
+    return met.select("word", "side", "n").mapInArrow(run, "word string, class int")
+
+
+def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> DataFrame:
+    """``rows(doc_id, text)`` as token classes, see ``filled``, with the tokens that training has and their logarithms.
+
+    ``own`` holds a byte a token. ``place`` are the tokens beyond the frequent words; of these
+    the table of words gives the classes ``class`` to those numbered ``at``.
+    """
+    log_count = np.log10(model.count + 0.5) if len(model.count) else np.zeros(1)
+    log_end = np.log10(model.texts + 0.5)
+
+    def run(source):
+        for batch in parts(source, "text"):
+            data, s, e, first = lowered(batch)
+            at = model.places(word_hashes(data, s, e))
+            own, begin = with_ends(model.classes_of(data, s, e, at), first, len(model.step) - 1)
+            mass = np.add.reduceat(with_ends(np.where(at >= 0, log_count[at], 0.0), first, log_end)[0], begin)
+            n_known = np.add.reduceat(with_ends((at >= 0).astype(np.int64), first, int(model.texts > 0))[0], begin)
+            rare = np.flatnonzero(at < 0)
+            cuts = pa.array(np.searchsorted(rare, first).astype(np.int32))
+            raw = own.astype(np.uint8).tobytes()
+            lines = [raw[a:b] for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(raw)], strict=True)]
+            yield table(["doc_id", "n_known", "mass", "own", "place", "rare"], [
+                batch.column("doc_id"), pa.array(n_known), pa.array(mass), pa.array(lines, pa.binary()),
+                pa.ListArray.from_arrays(cuts, pa.array((rare - first[owners(first)[rare]]).astype(np.int32))),
+                pa.ListArray.from_arrays(cuts, cut_words(data, s[rare], e[rare]).cast(pa.string())),
+            ])
+
+    part = rows.mapInArrow(run, "doc_id long, n_known long, mass double, own binary, place array<int>, rare array<string>")
+    part = staged(part.withColumn("row", F.monotonically_increasing_id()), "brown-parts")
+    # counts and classes of all words beyond the frequent ones
+    rest = part.select("row", F.posexplode("rare").alias("at", "word"))
+    few = counts.filter(F.col("c") <= model.least) if model.least else counts.limit(0)
+    known = F.when(F.col("c").isNotNull(), F.struct("at", "class"))
+    met = rest.join(few, "word", "left").groupBy("row").agg(
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"), F.count("c").alias("seen"), F.collect_list(known).alias("met")
+    )
+    none = F.array().cast("array<int>")
+    return part.drop("rare").join(met, "row", "left").select(
+        "doc_id", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("mass") + F.coalesce("rest", F.lit(0.0))).alias("mass"),
+        "own", "place", F.coalesce("met.at", none).alias("at"), F.coalesce("met.class", none).alias("class"),
+    )
+
+
+def filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens of a batch of ``classed`` rows, the first token of each row, and their numbers."""
+    lines = batch.column("own").to_pylist()
+    sizes = np.array([len(x) for x in lines], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    own = np.frombuffer(b"".join(lines), np.uint8).astype(np.int64)
+    many, held = (pc.list_value_length(batch.column(c)).to_numpy() for c in ("place", "at"))
+    place, at, found = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "at", "class"))
+    row = np.repeat(np.arange(len(lines)), held)
+    own[begin[row] + place[(np.cumsum(many) - many)[row] + at]] = found
+    return own, begin, sizes
+
+
+def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
+    """Counts of adjacent classes of ``classed`` rows, ends included."""
+
+    def run(source):
+        cells = np.zeros(classes * classes, np.int64)
+        for batch in source:
+            if batch.num_rows:
+                own = filled(batch)[0]
+                cells += np.bincount(np.concatenate([[classes - 1], own[:-1]]) * classes + own, minlength=len(cells))
+        some = np.flatnonzero(cells)
+        yield table(["pair", "n"], [pa.array(some.astype(np.int32)), pa.array(cells[some])])
+
+    got = rows.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes, np.int64)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
 def train(
     rows: DataFrame, classes: int = 64, words: int = 1200, endings: int = 335, top: int = 1 << 16, sweeps: int = 6, pull: float = 2.0,
 ) -> tuple[Brown, DataFrame]:
-    """Model and word counts ``(word, c)`` of the texts in ``rows(text)``."""
+    """Model and words ``(word, c, class)`` of the texts in ``rows(text)``; ``classes`` fit a byte."""
     counts = staged(word_counts(rows), "brown-words")
     texts = rows.count()
     total, many = counts.agg(F.sum("c"), F.count("*")).first()
@@ -195,22 +347,24 @@ def train(
     model.classes = exchange(pairs, classes, sweeps)
     member = np.zeros((len(pairs), classes))
     member[np.arange(len(pairs)), model.classes] = 1
-    grid = member.T @ pairs @ member
-    mass = grid.sum(axis=0)
-    share = (mass + 1) / (mass.sum() + classes)
-    model.step = np.log10((grid + pull * share) / (grid.sum(axis=1, keepdims=True) + pull))
+    moved = word_exchange(neighbours(rows, model, classes), model, member.T @ pairs @ member)
 
-    def sizes(source):
+    def by_type(source):
         for batch in source:
             data, offs = utf8(batch.column("word"))
             s, e = offs[:-1], offs[1:]
             own = model.classes[model.types(data, s, e, model.places(word_hashes(data, s, e)))]
-            n = np.bincount(own, minlength=classes)
-            m = np.bincount(own, batch.column("c").to_numpy(), classes)
-            yield table(["class", "n", "m"], [pa.array(np.arange(classes)), pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))])
+            yield table(["word", "c", "class"], [batch.column("word"), batch.column("c"), pa.array(own.astype(np.int32))])
 
+    typed = counts.mapInArrow(by_type, "word string, c long, class int").withColumnRenamed("class", "typed")
+    counts = staged(typed.join(moved, "word", "left").select("word", "c", F.coalesce("class", "typed").alias("class")), "brown-classes")
+    model.own = counts.orderBy(F.desc("c"), "word").limit(top).toArrow().column("class").to_numpy()[order].astype(np.int64)
+    grid = class_bigrams(classed(rows.select(F.lit(0).cast("long").alias("doc_id"), "text"), model, counts), classes).astype(float)
+    mass = grid.sum(axis=0)
+    share = (mass + 1) / (mass.sum() + classes)
+    model.step = np.log10((grid + pull * share) / (grid.sum(axis=1, keepdims=True) + pull))
     members, held = np.zeros(classes), np.zeros(classes)
-    for r in counts.mapInArrow(sizes, "class long, n long, m long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect():
+    for r in counts.groupBy("class").agg(F.count("*").alias("n"), F.sum("c").alias("m")).collect():
         members[r["class"]], held[r["class"]] = r.n, r.m
     members[classes - 1], held[classes - 1] = int(texts > 0), texts
     model.size = np.log10(held + 0.5 * (members + 1))
@@ -219,56 +373,29 @@ def train(
 
 def word_classes(model: Brown, counts: DataFrame) -> DataFrame:
     """``(word, c, class)`` of every training word."""
-
-    def run(source):
-        for batch in source:
-            data, offs = utf8(batch.column("word"))
-            s, e = offs[:-1], offs[1:]
-            own = model.classes[model.types(data, s, e, model.places(word_hashes(data, s, e)))]
-            yield table(["word", "c", "class"], [batch.column("word"), batch.column("c"), pa.array(own.astype(np.int32))])
-
-    return counts.mapInArrow(run, "word string, c long, class int")
+    return counts.select("word", "c", "class")
 
 
 def score(docs: DataFrame, model: Brown, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` per row."""
-    log_count = np.log10(model.count + 0.5) if len(model.count) else np.zeros(1)
-    log_end = np.log10(model.texts + 0.5)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(source):
-        for batch in parts(source, "text"):
-            data, s, e, first = lowered(batch)
-            hashes = word_hashes(data, s, e)
-            at = model.places(hashes)
-            own, begin = with_ends(model.classes[model.types(data, s, e, at)], first, len(model.step) - 1)
-            before = np.concatenate([[len(model.step) - 1], own[:-1]])
-            terms = np.add.reduceat(model.step[before, own] - model.size[own], begin)
-            known = np.where(at >= 0, log_count[at], 0.0)
-            mass = np.add.reduceat(with_ends(known, first, log_end)[0], begin)
-            n_known = np.add.reduceat(with_ends((at >= 0).astype(np.int64), first, int(model.texts > 0))[0], begin)
-            rare = np.flatnonzero(at < 0)
-            cuts = np.searchsorted(rare, first).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(cuts), cut_words(data, s[rare], e[rare]).cast(pa.string()))
-            yield table(["doc_id", "n_tokens", "n_known", "terms", "mass", "rare"], [
-                batch.column("doc_id"), pa.array(np.diff(first) + 1), pa.array(n_known), pa.array(terms), pa.array(mass), words,
-            ])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    part = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, terms double, mass double, rare array<string>")
-    part = staged(part.withColumn("row", F.monotonically_increasing_id()), "brown-parts")
-    # the counts of all words beyond the frequent ones
-    rest = part.select("row", F.explode("rare").alias("word"))
-    few = counts.filter(F.col("c") <= model.least) if model.least else counts.limit(0)
-    met = rest.join(few, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"), F.count("c").alias("seen")
-    )
-    whole = part.drop("rare").join(met, "row", "left")
-    mass = F.col("mass") + F.coalesce("rest", F.lit(0.0))
+        for batch in source:
+            if batch.num_rows:
+                own, begin, sizes = filled(batch)
+                before = np.concatenate([[len(model.step) - 1], own[:-1]])
+                terms = np.add.reduceat(model.step[before, own] - model.size[own], begin)
+                yield table(["doc_id", "n_tokens", "n_known", "terms", "mass"], [
+                    batch.column("doc_id"), pa.array(sizes), batch.column("n_known"), pa.array(terms), batch.column("mass"),
+                ])
+
+    whole = classed(rows, model, counts).mapInArrow(run, "doc_id long, n_tokens long, n_known long, terms double, mass double")
     n = F.col("n_tokens")
-    scored = F.col("terms") + mass
+    scored = F.col("terms") + F.col("mass")
     return whole.select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        "doc_id", "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (mass - n * F.lit(float(np.log10(model.tokens + 0.5 * (model.distinct + 1))))).alias("base_score"),
+        (F.col("mass") - n * F.lit(float(np.log10(model.tokens + 0.5 * (model.distinct + 1))))).alias("base_score"),
         scored.alias("score"), F.pow(F.lit(10.0), -scored / n).alias("perplexity"),
     )
