@@ -187,9 +187,9 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 
 def neighbours(rows: DataFrame, model: Brown, classes: int) -> DataFrame:
-    """``(word, c, side, n)`` of the words beyond the clustered types that training has twice or more.
+    """``(word, c, around, n)`` of the words beyond the clustered types that training has twice or more.
 
-    ``side``: the class behind a word, and ``classes`` + the class before it; ``n``: how often.
+    ``around``: ``classes`` x the class before a word + the class behind it; ``n``: how often.
     """
 
     def run(source):
@@ -203,18 +203,16 @@ def neighbours(rows: DataFrame, model: Brown, classes: int) -> DataFrame:
                 continue
             values, code = distinct(hashes[some])
             at = some + owners(first)[some]  # an end stands behind each text before it, and before the first text
-            side = np.concatenate([line[at + 1], classes + line[at - 1]])
-            pair, n = np.unique(np.tile(code.astype(np.int64), 2) * 2 * classes + side, return_counts=True)
+            cells = classes * classes
+            pair, n = np.unique(code.astype(np.int64) * cells + line[at - 1] * classes + line[at + 1], return_counts=True)
             one = np.zeros(len(values), np.int64)
             one[code] = some
-            words = cut_words(data, s[one], e[one]).cast(pa.string()).take(pa.array(pair // (2 * classes)))
-            yield table(["word", "side", "n"], [words, pa.array((pair % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))])
+            words = cut_words(data, s[one], e[one]).cast(pa.string()).take(pa.array(pair // cells))
+            yield table(["word", "around", "n"], [words, pa.array((pair % cells).astype(np.int32)), pa.array(n.astype(np.int64))])
 
-    found = rows.select("text").mapInArrow(run, "word string, side int, n long").groupBy("word", "side").agg(F.sum("n").alias("n"))
-    met = found.groupBy("word").agg(
-        F.sum(F.when(F.col("side") < classes, F.col("n"))).alias("c"), F.collect_list("side").alias("side"), F.collect_list("n").alias("n")
-    )
-    return met.filter("c > 1")
+    found = rows.select("text").mapInArrow(run, "word string, around int, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
+    met = found.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("around", "n")).alias("met"))
+    return met.filter("c > 1").select("word", "c", F.col("met.around").alias("around"), F.col("met.n").alias("n"))
 
 
 def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
@@ -232,9 +230,14 @@ def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
                 batch = whole.slice(start, 1024)
                 data, offs = utf8(batch.column("word"))
                 now = model.classes[model.types(data, offs[:-1], offs[1:], model.places(word_hashes(data, offs[:-1], offs[1:])))]
-                sizes = pc.list_value_length(batch.column("side")).to_numpy()
-                side, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("side", "n"))
-                row, n = np.repeat(np.arange(len(sizes)), sizes), n.astype(float)
+                around, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("around", "n"))
+                row = np.repeat(np.arange(len(now)), pc.list_value_length(batch.column("around")).to_numpy())
+                # the class behind a word, and ``classes`` + the class before it
+                side = np.concatenate([around % classes, classes + around // classes]) + np.tile(row, 2) * 2 * classes
+                side, code = np.unique(side, return_inverse=True)
+                n = np.bincount(code, np.tile(n, 2))
+                row, side = side // (2 * classes), side % (2 * classes)
+                sizes = np.bincount(row, minlength=len(now))
                 without = cells[side]
                 place = np.arange(len(side)), now[row]
                 without[place] = np.maximum(without[place] - n, 0)
@@ -250,7 +253,7 @@ def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
                 best = np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
                 yield table(["word", "class"], [batch.column("word"), pa.array(best.astype(np.int32))])
 
-    return met.select("word", "side", "n").mapInArrow(run, "word string, class int")
+    return met.select("word", "around", "n").mapInArrow(run, "word string, class int")
 
 
 def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> DataFrame:
