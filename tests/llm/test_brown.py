@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from urlsieve import session
 from urlsieve.llm import brown
 from urlsieve.llm.queries import op1_brown
 
@@ -96,3 +97,10 @@ def test_score_follows_from_classes_and_counts(spark, odd_docs, odd_rows):
             grid[x, y] += 1
     share = (grid.sum(axis=0) + 1) / (grid.sum() + 8)
     assert np.allclose(10**model.step, (grid + 2 * share) / (grid.sum(axis=1, keepdims=True) + 2))
+
+
+def test_training_leaves_only_its_model_on_disk(spark, odd_docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    brown.train(odd_docs.select("text"), classes=8, words=20, endings=7, top=50)
+    left = {p.parent.name.rsplit("-", 1)[0] for p in tmp_path.rglob("part-*.parquet")}
+    assert left == {"brown-bigrams", "brown-steps", "brown-classes"}  # counts of classes, and the words with theirs

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsieve.llm.store import parts, staged, table
+from urlsieve.llm.store import drop_staged, parts, staged, table
 from urlsieve.llm.text import LOWER, cut_words, distinct, owners, spans, utf8, word_hashes
 
 TAIL = 3
@@ -256,11 +256,12 @@ def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
     return met.select("word", "around", "n").mapInArrow(run, "word string, class int")
 
 
-def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> DataFrame:
+def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows(doc_id, text)`` as token classes, see ``filled``, with the tokens that training has and their logarithms.
 
     ``own`` holds a byte a token. ``place`` are the tokens beyond the frequent words; of these
-    the table of words gives the classes ``class`` to those numbered ``at``.
+    the table of words gives the classes ``class`` to those numbered ``at``. The second table is
+    the written one that the first is read from.
     """
     log_count = np.log10(model.count + 0.5) if len(model.count) else np.zeros(1)
     log_end = np.log10(model.texts + 0.5)
@@ -295,7 +296,7 @@ def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> DataFrame:
     return part.drop("rare").join(met, "row", "left").select(
         "doc_id", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("mass") + F.coalesce("rest", F.lit(0.0))).alias("mass"),
         "own", "place", F.coalesce("met.at", none).alias("at"), F.coalesce("met.class", none).alias("class"),
-    )
+    ), part
 
 
 def filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,7 +324,8 @@ def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
         some = np.flatnonzero(cells)
         yield table(["pair", "n"], [pa.array(some.astype(np.int32)), pa.array(cells[some])])
 
-    got = rows.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    got = staged(found, "brown-steps").toArrow()
     out = np.zeros(classes * classes, np.int64)
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(classes, classes)
@@ -333,7 +335,7 @@ def train(
     rows: DataFrame, classes: int = 64, words: int = 1200, endings: int = 335, top: int = 1 << 16, sweeps: int = 6, pull: float = 2.0,
 ) -> tuple[Brown, DataFrame]:
     """Model and words ``(word, c, class)`` of the texts in ``rows(text)``; ``classes`` fit a byte."""
-    counts = staged(word_counts(rows), "brown-words")
+    counts = words_alone = staged(word_counts(rows), "brown-words")
     texts = rows.count()
     total, many = counts.agg(F.sum("c"), F.count("*")).first()
     frequent = counts.orderBy(F.desc("c"), "word").limit(top).toArrow()
@@ -361,8 +363,11 @@ def train(
 
     typed = counts.mapInArrow(by_type, "word string, c long, class int").withColumnRenamed("class", "typed")
     counts = staged(typed.join(moved, "word", "left").select("word", "c", F.coalesce("class", "typed").alias("class")), "brown-classes")
+    drop_staged(words_alone)
     model.own = counts.orderBy(F.desc("c"), "word").limit(top).toArrow().column("class").to_numpy()[order].astype(np.int64)
-    grid = class_bigrams(classed(rows.select(F.lit(0).cast("long").alias("doc_id"), "text"), model, counts), classes).astype(float)
+    whole, written = classed(rows.select(F.lit(0).cast("long").alias("doc_id"), "text"), model, counts)
+    grid = class_bigrams(whole, classes).astype(float)
+    drop_staged(written)
     mass = grid.sum(axis=0)
     share = (mass + 1) / (mass.sum() + classes)
     model.step = np.log10((grid + pull * share) / (grid.sum(axis=1, keepdims=True) + pull))
@@ -393,7 +398,7 @@ def score(docs: DataFrame, model: Brown, counts: DataFrame, id_col: str = "doc_i
                     batch.column("doc_id"), pa.array(sizes), batch.column("n_known"), pa.array(terms), batch.column("mass"),
                 ])
 
-    whole = classed(rows, model, counts).mapInArrow(run, "doc_id long, n_tokens long, n_known long, terms double, mass double")
+    whole = classed(rows, model, counts)[0].mapInArrow(run, "doc_id long, n_tokens long, n_known long, terms double, mass double")
     n = F.col("n_tokens")
     scored = F.col("terms") + F.col("mass")
     return whole.select(
