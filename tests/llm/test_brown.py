@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from urlsieve import session
 from urlsieve.llm import brown
@@ -104,3 +105,15 @@ def test_training_leaves_only_its_model_on_disk(spark, odd_docs, tmp_path, monke
     brown.train(odd_docs.select("text"), classes=8, words=20, endings=7, top=50)
     left = {p.parent.name.rsplit("-", 1)[0] for p in tmp_path.rglob("part-*.parquet")}
     assert left == {"brown-bigrams", "brown-steps", "brown-classes"}  # counts of classes, and the words with theirs
+
+
+def test_one_pass_trains_and_scores_as_two_do(spark, odd_docs, monkeypatch):
+    passes, plain, settings = [], brown.classed, dict(classes=8, words=20, endings=7, top=50)
+    monkeypatch.setattr(brown, "classed", lambda *a: passes.append(a) or plain(*a))
+    learns = F.length("text") % 2 == 0  # null for a null text
+    got = brown.train_and_score(odd_docs, learns, **settings).collect()
+    assert len(passes) == 1
+    want = brown.score(odd_docs, *brown.train(odd_docs.filter(learns).select("text"), **settings)).collect()
+    assert sorted(str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in got) == sorted(
+        str(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in want
+    )

@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsieve.llm.store import drop_staged, parts, staged, table
@@ -187,9 +187,10 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
 
 
 def neighbours(rows: DataFrame, model: Brown, classes: int) -> DataFrame:
-    """``(word, c, around, n)`` of the words beyond the clustered types that training has twice or more.
+    """``(word, typed, around, n)`` of the words beyond the clustered types that training has twice or more.
 
-    ``around``: ``classes`` x the class before a word + the class behind it; ``n``: how often.
+    ``word`` is the word's hash, ``typed`` the class of its ending; ``around``: ``classes`` x the class
+    before a word + the class behind it; ``n``: how often.
     """
 
     def run(source):
@@ -205,18 +206,21 @@ def neighbours(rows: DataFrame, model: Brown, classes: int) -> DataFrame:
             at = some + owners(first)[some]  # an end stands behind each text before it, and before the first text
             cells = classes * classes
             pair, n = np.unique(code.astype(np.int64) * cells + line[at - 1] * classes + line[at + 1], return_counts=True)
-            one = np.zeros(len(values), np.int64)
-            one[code] = some
-            words = cut_words(data, s[one], e[one]).cast(pa.string()).take(pa.array(pair // cells))
-            yield table(["word", "around", "n"], [words, pa.array((pair % cells).astype(np.int32)), pa.array(n.astype(np.int64))])
+            typed = np.zeros(len(values), np.int64)
+            typed[code] = line[at]
+            word = pair // cells
+            yield table(["word", "typed", "around", "n"], [
+                pa.array(values[word].view(np.int64)), pa.array(typed[word].astype(np.int32)),
+                pa.array((pair % cells).astype(np.int32)), pa.array(n.astype(np.int64)),
+            ])
 
-    found = rows.select("text").mapInArrow(run, "word string, around int, n long").groupBy("word", "around").agg(F.sum("n").alias("n"))
-    met = found.groupBy("word").agg(F.sum("n").alias("c"), F.collect_list(F.struct("around", "n")).alias("met"))
-    return met.filter("c > 1").select("word", "c", F.col("met.around").alias("around"), F.col("met.n").alias("n"))
+    found = rows.select("text").mapInArrow(run, "word long, typed int, around int, n long").groupBy("word", "typed", "around").agg(F.sum("n").alias("n"))
+    met = found.groupBy("word", "typed").agg(F.sum("n").alias("c"), F.collect_list(F.struct("around", "n")).alias("met"))
+    return met.filter("c > 1").select("word", "typed", F.col("met.around").alias("around"), F.col("met.n").alias("n"))
 
 
-def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
-    """``(word, class)``: each word's best class by its ``neighbours`` and the class bigrams ``grid``.
+def word_exchange(met: DataFrame, grid: np.ndarray) -> DataFrame:
+    """``(word, typed, class)``: each word's best class by its ``neighbours`` and the class bigrams ``grid``.
 
     A word's counts are taken out of its present class; all other words stay where they are.
     """
@@ -228,8 +232,7 @@ def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
         for whole in source:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
-                data, offs = utf8(batch.column("word"))
-                now = model.classes[model.types(data, offs[:-1], offs[1:], model.places(word_hashes(data, offs[:-1], offs[1:])))]
+                now = batch.column("typed").to_numpy()
                 around, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("around", "n"))
                 row = np.repeat(np.arange(len(now)), pc.list_value_length(batch.column("around")).to_numpy())
                 # the class behind a word, and ``classes`` + the class before it
@@ -251,17 +254,16 @@ def word_exchange(met: DataFrame, model: Brown, grid: np.ndarray) -> DataFrame:
                 best = gain.argmax(axis=1)
                 at = np.arange(len(sizes))
                 best = np.where(gain[at, best] > gain[at, now] + 1e-9, best, now)
-                yield table(["word", "class"], [batch.column("word"), pa.array(best.astype(np.int32))])
+                yield table(["word", "typed", "class"], [batch.column("word"), batch.column("typed"), pa.array(best.astype(np.int32))])
 
-    return met.select("word", "around", "n").mapInArrow(run, "word string, class int")
+    return met.mapInArrow(run, "word long, typed int, class int")
 
 
-def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows(doc_id, text)`` as token classes, see ``filled``, with the tokens that training has and their logarithms.
+def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> DataFrame:
+    """``rows(doc_id, learns, text)`` as ``(doc_id, learns, n_known, mass, own)``, a written table.
 
-    ``own`` holds a byte a token. ``place`` are the tokens beyond the frequent words; of these
-    the table of words gives the classes ``class`` to those numbered ``at``. The second table is
-    the written one that the first is read from.
+    ``own`` holds the class of each token, a byte a token; ``n_known`` are the tokens that training
+    has, ``mass`` is the sum of the logarithms of their counts.
     """
     log_count = np.log10(model.count + 0.5) if len(model.count) else np.zeros(1)
     log_end = np.log10(model.texts + 0.5)
@@ -277,13 +279,13 @@ def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> tuple[DataFrame
             cuts = pa.array(np.searchsorted(rare, first).astype(np.int32))
             raw = own.astype(np.uint8).tobytes()
             lines = [raw[a:b] for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(raw)], strict=True)]
-            yield table(["doc_id", "n_known", "mass", "own", "place", "rare"], [
-                batch.column("doc_id"), pa.array(n_known), pa.array(mass), pa.array(lines, pa.binary()),
+            yield table(["doc_id", "learns", "n_known", "mass", "own", "place", "rare"], [
+                batch.column("doc_id"), batch.column("learns"), pa.array(n_known), pa.array(mass), pa.array(lines, pa.binary()),
                 pa.ListArray.from_arrays(cuts, pa.array((rare - first[owners(first)[rare]]).astype(np.int32))),
                 pa.ListArray.from_arrays(cuts, cut_words(data, s[rare], e[rare]).cast(pa.string())),
             ])
 
-    part = rows.mapInArrow(run, "doc_id long, n_known long, mass double, own binary, place array<int>, rare array<string>")
+    part = rows.mapInArrow(run, "doc_id long, learns boolean, n_known long, mass double, own binary, place array<int>, rare array<string>")
     part = staged(part.withColumn("row", F.monotonically_increasing_id()), "brown-parts")
     # counts and classes of all words beyond the frequent ones
     rest = part.select("row", F.posexplode("rare").alias("at", "word"))
@@ -293,23 +295,38 @@ def classed(rows: DataFrame, model: Brown, counts: DataFrame) -> tuple[DataFrame
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"), F.count("c").alias("seen"), F.collect_list(known).alias("met")
     )
     none = F.array().cast("array<int>")
-    return part.drop("rare").join(met, "row", "left").select(
-        "doc_id", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("mass") + F.coalesce("rest", F.lit(0.0))).alias("mass"),
+    whole = part.drop("rare").join(met, "row", "left").select(
+        "doc_id", "learns", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("mass") + F.coalesce("rest", F.lit(0.0))).alias("mass"),
         "own", "place", F.coalesce("met.at", none).alias("at"), F.coalesce("met.class", none).alias("class"),
-    ), part
+    )
+    lines = staged(whole.mapInArrow(filled, LINES), "brown-lines")
+    drop_staged(part)
+    return lines
+
+
+LINES = "doc_id long, learns boolean, n_known long, mass double, own binary"
+
+
+def filled(source):
+    """Token classes of rows whose tokens beyond the frequent words are numbered by ``place``: those numbered ``at`` get ``class``."""
+    for batch in source:
+        if batch.num_rows:
+            own, begin, sizes = tokens(batch)
+            many, held = (pc.list_value_length(batch.column(c)).to_numpy() for c in ("place", "at"))
+            place, at, found = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "at", "class"))
+            row = np.repeat(np.arange(len(sizes)), held)
+            own[begin[row] + place[(np.cumsum(many) - many)[row] + at]] = found
+            raw = own.tobytes()
+            lines = [raw[a : a + n] for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+            names = ["doc_id", "learns", "n_known", "mass"]
+            yield table([*names, "own"], [*(batch.column(c) for c in names), pa.array(lines, pa.binary())])
 
 
-def filled(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens of a batch of ``classed`` rows, the first token of each row, and their numbers."""
+def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of all tokens of a batch, the first token of each row, and their numbers."""
     lines = batch.column("own").to_pylist()
     sizes = np.array([len(x) for x in lines], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    own = np.frombuffer(b"".join(lines), np.uint8).astype(np.int64)
-    many, held = (pc.list_value_length(batch.column(c)).to_numpy() for c in ("place", "at"))
-    place, at, found = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "at", "class"))
-    row = np.repeat(np.arange(len(lines)), held)
-    own[begin[row] + place[(np.cumsum(many) - many)[row] + at]] = found
-    return own, begin, sizes
+    return np.frombuffer(b"".join(lines), np.uint8).copy(), np.cumsum(sizes) - sizes, sizes
 
 
 def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
@@ -319,7 +336,7 @@ def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
         cells = np.zeros(classes * classes, np.int64)
         for batch in source:
             if batch.num_rows:
-                own = filled(batch)[0]
+                own = tokens(batch)[0].astype(np.int64)
                 cells += np.bincount(np.concatenate([[classes - 1], own[:-1]]) * classes + own, minlength=len(cells))
         some = np.flatnonzero(cells)
         yield table(["pair", "n"], [pa.array(some.astype(np.int32)), pa.array(cells[some])])
@@ -331,10 +348,8 @@ def class_bigrams(rows: DataFrame, classes: int) -> np.ndarray:
     return out.reshape(classes, classes)
 
 
-def train(
-    rows: DataFrame, classes: int = 64, words: int = 1200, endings: int = 335, top: int = 1 << 16, sweeps: int = 6, pull: float = 2.0,
-) -> tuple[Brown, DataFrame]:
-    """Model and words ``(word, c, class)`` of the texts in ``rows(text)``; ``classes`` fit a byte."""
+def cluster(rows: DataFrame, classes: int, words: int, endings: int, top: int, sweeps: int) -> tuple[Brown, DataFrame]:
+    """The classes of a model, without its transitions, and the words ``(word, c, class)``."""
     counts = words_alone = staged(word_counts(rows), "brown-words")
     texts = rows.count()
     total, many = counts.agg(F.sum("c"), F.count("*")).first()
@@ -352,30 +367,45 @@ def train(
     model.classes = exchange(pairs, classes, sweeps)
     member = np.zeros((len(pairs), classes))
     member[np.arange(len(pairs)), model.classes] = 1
-    moved = word_exchange(neighbours(rows, model, classes), model, member.T @ pairs @ member)
+    moved = word_exchange(neighbours(rows, model, classes), member.T @ pairs @ member)
 
     def by_type(source):
         for batch in source:
             data, offs = utf8(batch.column("word"))
             s, e = offs[:-1], offs[1:]
-            own = model.classes[model.types(data, s, e, model.places(word_hashes(data, s, e)))]
-            yield table(["word", "c", "class"], [batch.column("word"), batch.column("c"), pa.array(own.astype(np.int32))])
+            hashes = word_hashes(data, s, e)
+            own = model.classes[model.types(data, s, e, model.places(hashes))]
+            yield table(["name", "c", "word", "typed"], [batch.column("word"), batch.column("c"), pa.array(hashes.view(np.int64)), pa.array(own.astype(np.int32))])
 
-    typed = counts.mapInArrow(by_type, "word string, c long, class int").withColumnRenamed("class", "typed")
-    counts = staged(typed.join(moved, "word", "left").select("word", "c", F.coalesce("class", "typed").alias("class")), "brown-classes")
+    typed = counts.mapInArrow(by_type, "name string, c long, word long, typed int").join(moved, ["word", "typed"], "left")
+    counts = staged(typed.select(F.col("name").alias("word"), "c", F.coalesce("class", "typed").alias("class")), "brown-classes")
     drop_staged(words_alone)
     model.own = counts.orderBy(F.desc("c"), "word").limit(top).toArrow().column("class").to_numpy()[order].astype(np.int64)
-    whole, written = classed(rows.select(F.lit(0).cast("long").alias("doc_id"), "text"), model, counts)
-    grid = class_bigrams(whole, classes).astype(float)
-    drop_staged(written)
+    return model, counts
+
+
+def weigh(model: Brown, counts: DataFrame, lines: DataFrame, pull: float) -> None:
+    """Transitions and sizes of the classes, from the training rows of ``classed``."""
+    classes = len(model.step)
+    grid = class_bigrams(lines, classes).astype(float)
     mass = grid.sum(axis=0)
     share = (mass + 1) / (mass.sum() + classes)
     model.step = np.log10((grid + pull * share) / (grid.sum(axis=1, keepdims=True) + pull))
     members, held = np.zeros(classes), np.zeros(classes)
     for r in counts.groupBy("class").agg(F.count("*").alias("n"), F.sum("c").alias("m")).collect():
         members[r["class"]], held[r["class"]] = r.n, r.m
-    members[classes - 1], held[classes - 1] = int(texts > 0), texts
+    members[classes - 1], held[classes - 1] = int(model.texts > 0), model.texts
     model.size = np.log10(held + 0.5 * (members + 1))
+
+
+def train(
+    rows: DataFrame, classes: int = 64, words: int = 1200, endings: int = 335, top: int = 1 << 16, sweeps: int = 6, pull: float = 2.0,
+) -> tuple[Brown, DataFrame]:
+    """Model and words ``(word, c, class)`` of the texts in ``rows(text)``; ``classes`` fit a byte."""
+    model, counts = cluster(rows, classes, words, endings, top, sweeps)
+    lines = classed(rows.select(F.lit(0).cast("long").alias("doc_id"), F.lit(True).alias("learns"), "text"), model, counts)
+    weigh(model, counts, lines, pull)
+    drop_staged(lines)
     return model, counts
 
 
@@ -386,24 +416,41 @@ def word_classes(model: Brown, counts: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: Brown, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity)`` per row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(False).alias("learns"), F.col(text_col).alias("text"))
+    return scored(classed(rows, model, counts), model)
+
+
+def train_and_score(
+    docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text",
+    classes: int = 64, words: int = 1200, endings: int = 335, top: int = 1 << 16, sweeps: int = 6, pull: float = 2.0,
+) -> DataFrame:
+    """``score`` of all rows by ``train`` on those that ``learns`` names; the texts are classed once for both."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(learns, F.lit(False)).alias("learns"), F.col(text_col).alias("text"))
+    model, counts = cluster(rows.filter("learns").select("text"), classes, words, endings, top, sweeps)
+    lines = classed(rows, model, counts)
+    weigh(model, counts, lines.filter("learns"), pull)
+    return scored(lines, model)
+
+
+def scored(lines: DataFrame, model: Brown) -> DataFrame:
+    """Scores of the rows of ``classed``."""
 
     def run(source):
         for batch in source:
             if batch.num_rows:
-                own, begin, sizes = filled(batch)
+                own, begin, sizes = tokens(batch)
                 before = np.concatenate([[len(model.step) - 1], own[:-1]])
                 terms = np.add.reduceat(model.step[before, own] - model.size[own], begin)
                 yield table(["doc_id", "n_tokens", "n_known", "terms", "mass"], [
                     batch.column("doc_id"), pa.array(sizes), batch.column("n_known"), pa.array(terms), batch.column("mass"),
                 ])
 
-    whole = classed(rows, model, counts)[0].mapInArrow(run, "doc_id long, n_tokens long, n_known long, terms double, mass double")
+    whole = lines.mapInArrow(run, "doc_id long, n_tokens long, n_known long, terms double, mass double")
     n = F.col("n_tokens")
-    scored = F.col("terms") + F.col("mass")
+    total = F.col("terms") + F.col("mass")
     return whole.select(
         "doc_id", "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("mass") - n * F.lit(float(np.log10(model.tokens + 0.5 * (model.distinct + 1))))).alias("base_score"),
-        scored.alias("score"), F.pow(F.lit(10.0), -scored / n).alias("perplexity"),
+        total.alias("score"), F.pow(F.lit(10.0), -total / n).alias("perplexity"),
     )

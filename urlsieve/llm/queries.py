@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = fold_of("doc_id", 5) == 1
-    scored = brown.score(docs, *brown.train(docs.filter(~held_out).select("text")))
+    scored = brown.train_and_score(docs, ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), *scored.columns[1:])
 
 
