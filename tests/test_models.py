@@ -1,0 +1,37 @@
+import threading
+
+import pytest
+
+from urlsieve.operators import models as M
+
+ROWS = [(f"site{k}.com/p{k % 7}?q={k % 5}", k % 2, "train" if k % 4 else "val") for k in range(80)]
+
+
+def test_fits_run_at_the_same_time(spark, monkeypatch):
+    """Each fit waits until all four have begun; its model stands in its own place."""
+    begun = threading.Barrier(4, timeout=60)
+
+    def fit(name):
+        def run(table, *rest):
+            begun.wait()
+            return name, table.count()
+
+        return run
+
+    for name in ("text", "neural", "tabular", "hybrid"):
+        monkeypatch.setattr(M, f"fit_{name}", fit(name))
+    df = spark.createDataFrame(ROWS, "url string, label int, split string")
+    models, table = M.fit_models(df, M.ModelConfig(vocabulary_size=50))
+    assert table.count() == 80
+    assert (models.nlp, models.nn, models.tree, models.hyb) == tuple((n, 80) for n in ("text", "neural", "tabular", "hybrid"))
+
+
+def test_an_error_of_one_fit_is_raised(spark, monkeypatch):
+    def broken(*args):
+        raise ValueError("no such column")
+
+    for name in ("text", "neural", "tabular", "hybrid"):
+        monkeypatch.setattr(M, f"fit_{name}", broken if name == "tabular" else lambda *args: name)
+    df = spark.createDataFrame(ROWS, "url string, label int, split string")
+    with pytest.raises(ValueError, match="no such column"):
+        M.fit_models(df, M.ModelConfig(vocabulary_size=50))
