@@ -89,6 +89,14 @@ def test_a_key_of_several_blocks_loses_no_link(spark, monkeypatch):
     assert roots(range(len(fps)), got) == roots(range(len(fps)), pairs)
 
 
+def test_keys_are_never_broadcast(spark, tmp_path):
+    # a file of few bytes has 24 keys a row, which Spark does not see
+    spark.range(100).selectExpr("id AS leader", "id * 7919 AS fp").write.parquet(f"{tmp_path}/leaders")
+    links = simhash.linked(simhash.with_ring_keys(spark.read.parquet(f"{tmp_path}/leaders")), 3)
+    plan = links._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 200), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -136,7 +136,8 @@ def run_links(key: np.ndarray, ids: np.ndarray, fps: np.ndarray, limit: int) ->
 
 def linked(keyed: DataFrame, limit: int) -> DataFrame:
     """Links ``(a, b)`` among rows ``(key, leader, fp)`` that share a key and differ in up to ``limit`` bits."""
-    sizes = keyed.groupBy("key").count().filter("count > 1")
+    # never broadcast: Spark takes ``keyed`` to have as many rows as what its keys were made from
+    sizes = keyed.groupBy("key").count().filter("count > 1").hint("merge")
     blocks = F.ceil(F.col("count") / RUN).cast("int")
     rows = keyed.join(sizes, "key").withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("fp", "leader"), "blocks").cast("int")
