@@ -58,3 +58,20 @@ def test_sliding_minimum():
     x = np.random.default_rng(0).integers(0, 50, 200).astype(np.uint64)
     for width in (1, 2, 5, 13):
         assert debruijn.sliding_min(x, width).tolist() == [x[i : i + width].min() for i in range(len(x) - width + 1)]
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    plans = []
+
+    def staged(df, name, keep=debruijn.staged):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(debruijn, "staged", staged)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(i, f"{' '.join(f'd{i}x{j}' for j in range(30))} {passage} tail{i}") for i in range(5)]
+    out = debruijn.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    # one sum for each partition is all that may be
+    assert len(joins) >= 9 and all("SortMergeJoin" in line or "__part" in line for line in joins)

@@ -84,3 +84,15 @@ def test_slots_are_exact_and_distinct_in_a_pass(spark):
     assert Counter(r.skey for r in rows) == dict(zip(plan.names, plan.slots.tolist(), strict=True))
     assert max(Counter((r.skey, r.block, r["pass"]) for r in rows).values()) == 1
     assert len({(r.shard, r.slot) for r in rows}) == len(rows) and max(r.slot for r in rows) < 97
+
+
+def test_blocks_of_documents_are_never_broadcast(spark, tmp_path):
+    # a document may have any number of blocks, which Spark does not see
+    placed = spark.range(100).selectExpr("id AS doc_id", "id AS t", "id AS r", "'0s' AS skey", "1000L AS size", "1000 * id AS offset")
+    drawn = spark.range(100).selectExpr("'0s' AS skey", "id AS block", "0 AS pass")
+    for name, df in (("placed", placed), ("drawn", drawn)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    found = mixing.pieces(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("placed", "drawn")), 16)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert found.count() == 101  # every block once, the one that two documents share twice

@@ -15,6 +15,9 @@ Edges are runs of ``k`` words. Only edges that can repeat become rows:
 
 Removal takes every word that an edge covers whose source is not itself.
 
+Tables with a row per document, anchor, edge or path meet in merge joins at any size: as a
+broadcast, their rows and lists take many times the room of the files that Spark judges by.
+
 Nulls are empty texts. A null id comes before all others. Rows equal in id and text are one
 document and each is returned; texts under one id are ordered by their hash. Texts of fewer
 than ``k`` words lose nothing, those of any length are cut whole. An empty table gives an empty result. Only the id and the text column are
@@ -147,21 +150,21 @@ def repeated_paths(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
     rows = docs.select(*keyed(id_col, text_col))
     seen = staged(anchors(rows, k).dropDuplicates(KEY), "debruijn-anchors")
     first_of = seen.groupBy("words", "n_words").agg(F.min(F.struct(*KEY)).alias("first"))
-    listed = seen.select(*KEY, "words", "n_words").join(first_of, ["words", "n_words"])
+    listed = seen.select(*KEY, "words", "n_words").join(first_of.hint("merge"), ["words", "n_words"])
     listed = staged(listed.select(*KEY, "n_words", (F.struct(*KEY) == F.col("first")).alias("stays")), "debruijn-listed")
     bases = staged(positioned(listed.filter("stays").select(*KEY, "n_words"), KEY, "n_words", "base").select(*KEY, "base"), "debruijn-bases")
-    spread = staged(seen.select(*KEY, "anchor").join(bases, KEY).select("base", F.explode("anchor").alias("anchor")), "debruijn-spread")
+    spread = staged(seen.select(*KEY, "anchor").join(bases.hint("merge"), KEY).select("base", F.explode("anchor").alias("anchor")), "debruijn-spread")
     drop_staged(seen)
     common = staged(spread.groupBy("anchor").count().filter("count > 1").select("anchor"), "debruijn-common")
-    where = staged(spread.join(common, "anchor").groupBy("base").agg(F.collect_list("anchor").alias("repeated")), "debruijn-where")
+    where = staged(spread.join(common.hint("merge"), "anchor").groupBy("base").agg(F.collect_list("anchor").alias("repeated")), "debruijn-where")
     drop_staged(spread, common)
-    wanted = bases.join(where, "base")
-    found = staged(edges(rows.join(wanted, KEY), k), "debruijn-edges")
+    wanted = bases.join(where.hint("merge"), "base")
+    found = staged(edges(rows.join(wanted.hint("merge"), KEY), k), "debruijn-edges")
     drop_staged(where)
     place = F.col("base") + F.col("start")
     sources = found.groupBy("edge", "check").agg(F.min(place).alias("source"), F.count("*").alias("copies")).filter("copies > 1")
     sources = staged(sources, "debruijn-sources")
-    met = staged(found.join(sources, ["edge", "check"]).select("base", "start", "source", "copies"), "debruijn-met")
+    met = staged(found.join(sources.hint("merge"), ["edge", "check"]).select("base", "start", "source", "copies"), "debruijn-met")
     drop_staged(found, sources)
     order = Window.partitionBy("base").orderBy("start")
     joins = (
@@ -175,7 +178,7 @@ def repeated_paths(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_co
     )
     paths = staged(paths.select("base", "start", "edges", "source", "copies", (place == F.col("source")).alias("is_source")), "debruijn-paths")
     drop_staged(met)
-    return paths, listed.join(bases, KEY, "left").select(*KEY, "stays", "base")
+    return paths, listed.join(bases.hint("merge"), KEY, "left").select(*KEY, "stays", "base")
 
 
 def drop_repeats(
@@ -191,11 +194,11 @@ def drop_repeats(
     paths, listed = repeated_paths(docs, k, id_col, text_col)
     gone = paths.filter("not is_source").groupBy("base").agg(F.collect_list(F.struct("start", "edges")).alias("gone"))
     # documents without a base (copies) stay out of that join: they would all meet at null
-    first = listed.filter("stays").join(gone, "base", "left")
+    first = listed.filter("stays").join(gone.hint("merge"), "base", "left")
     copies = listed.filter("not stays").withColumn("gone", F.lit(None).cast(first.schema["gone"].dataType))
     state = staged(first.unionByName(copies).drop("base"), "debruijn-state")
     also = [F.col(c).alias(f"__carry_{i}") for i, c in enumerate(carry)]
-    joined = docs.select(F.col(id_col).alias("__id"), *also, *keyed(id_col, text_col)).join(state, KEY)
+    joined = docs.select(F.col(id_col).alias("__id"), *also, *keyed(id_col, text_col)).join(state.hint("merge"), KEY)
     named = [f"__carry_{i}" for i in range(len(carry))]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select("__id", *named).schema)
     last = {"words": "kept", "digest": "kept_sha256", "text": "text"}[output]

@@ -200,7 +200,8 @@ def pieces(placed: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
     held = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), last)))
     low = F.greatest(F.col("block") * block, "offset") - F.col("offset")
     high = F.least((F.col("block") + 1) * block, F.col("offset") + F.col("size")) - F.col("offset")
-    return held.join(drawn.select("skey", "block", "pass"), ["skey", "block"]).select(
+    # never broadcast: Spark takes ``held`` to have as many rows as ``placed``
+    return held.join(drawn.select("skey", "block", "pass").hint("merge"), ["skey", "block"]).select(
         "doc_id", "t", "r", "skey", "offset", "pass", low.alias("low"), high.alias("high")
     )
 
